@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, quality_rules, url_filters
+from . import byte_bpe, chat_format, language_id, quality_rules, toxicity, url_filters
 
 
 def queries() -> dict:
     return {
         "op2_chat_format": chat_format.op2_chat_format,
+        "op3_language_id": language_id.op3_language_id,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_url_filters": url_filters.op9_url_filters,
