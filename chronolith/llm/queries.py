@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, language_id, quality_rules, toxicity, url_filters
+from . import byte_bpe, chat_format, language_id, quality_rules, secret_scan, toxicity, url_filters
 
 
 def queries() -> dict:
     return {
+        "op10_secret_scan": secret_scan.op10_secret_scan,
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_language_id": language_id.op3_language_id,
         "op6_toxicity": toxicity.op6_toxicity,
