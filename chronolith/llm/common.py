@@ -61,3 +61,19 @@ def worker_cache() -> dict:
     import sys
 
     return sys.__dict__.setdefault("_chronolith_worker_cache", {})
+
+
+class Shared:
+    """A broadcast with a number of its own, by which a worker knows what it has built from it. The value is pickled
+    as functions are, so that executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        from pyspark import cloudpickle
+
+        self.id, self.held = uuid.uuid4().hex, spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        import pickle
+
+        return pickle.loads(self.held.value)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import held_out, table, worker_cache
+from .common import Shared, held_out, table, worker_cache
 
 #: Training documents of a language (expected number, all if it has fewer), and words taken of each.
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 240
@@ -172,19 +172,6 @@ def labeller(shared) -> Labeller:
     return held["language"][1]
 
 
-class Shared:
-    """A broadcast with a number of its own, by which a worker knows what it has built from it."""
-
-    def __init__(self, spark, value):
-        import uuid
-
-        self.id, self.held = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
-
-    @property
-    def value(self):
-        return self.held.value
-
-
 def identify(docs: DataFrame, model: Model, *, keep: list[str] | None = None) -> DataFrame:
     """keep (columns of docs; doc_id without it), lang_pred, score and n_runs for every row of docs.
 

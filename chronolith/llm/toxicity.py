@@ -15,8 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, table, worker_cache
-from .language_id import Shared
+from .common import Shared, held_out, table, worker_cache
 
 #: Labelled documents that are learned from at most (those with the smallest hash of their id).
 SAMPLE_DOCS = 20_000
