@@ -17,7 +17,7 @@ BUCKETS = 16_384
 #: Trusted documents that the target is fitted on at most (those with the smallest hash of their id).
 TARGET_DOCS = 20_000
 #: Documents whose mean log ratio in millionths is lower are dropped.
-THRESHOLD = -150_000
+THRESHOLD = -90_000
 
 
 def words_of(text: Column) -> Column:
