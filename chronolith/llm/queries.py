@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, language_id, minhash_dedup, quality_rules, secret_scan, substring_dedup, toxicity, url_filters
+from . import byte_bpe, chat_format, decontaminate, language_id, minhash_dedup, quality_rules, secret_scan, substring_dedup, toxicity, url_filters
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op10_secret_scan": secret_scan.op10_secret_scan,
         "op2_chat_format": chat_format.op2_chat_format,
         "op3_language_id": language_id.op3_language_id,
