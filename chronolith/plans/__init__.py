@@ -1 +1,139 @@
+"""The activity document: segments, coverage, input, pages and windows assembled into one row, and its text forms."""
 
+from __future__ import annotations
+
+import json
+from datetime import datetime, timezone
+from zoneinfo import ZoneInfo
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import views
+from ..operators.temporal import segments
+from ..params import DEFAULT, Params
+
+BLIND_SPOTS = ["work away from the screen", "reading without input looks like idle time", "audio and calls", "other devices", "intent and quality of the work", "private windows"]
+
+
+def document_rows(frames: DataFrame, events: DataFrame | None, p: Params = DEFAULT) -> DataFrame:
+    """One row for each merged segment with all that its document entry needs; durations stay in microseconds."""
+    keys = ["device", "block", "merged"]
+    out = segments(frames, p)
+    tops = views.segment_windows(frames, p).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "window"))), lambda x: x["window"]).alias("windows"))
+    out = out.join(tops, keys, "left")
+    if "url" in frames.columns:
+        pages = views.segment_pages(frames, p).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "kind", "entity", "n"))).alias("pages"))
+        out = out.join(pages, keys, "left")
+    else:
+        out = out.withColumn("pages", F.expr("CAST(NULL AS array<struct<place:int,kind:string,entity:string,n:bigint>>)"))
+    if events is not None:
+        out = out.join(views.input_stats(events, frames, p), keys, "left")
+    else:
+        out = out.withColumn("keys", F.lit(None)).withColumn("clicks", F.lit(None)).withColumn("copies", F.lit(None))
+    return out
+
+
+def _iso(us: int | None) -> str | None:
+    return None if us is None else datetime.fromtimestamp(us // 1_000_000, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def _minutes(us: int) -> float:
+    return round(us / 60e6, 1)
+
+
+def build_document(frames: DataFrame, events: DataFrame | None = None, p: Params = DEFAULT, *, window: tuple[str, str] | None = None, generated_at: str | None = None) -> dict:
+    """The document of a window of frames as a dict. Only here, at the edge, are numbers rounded (as Python rounds)
+    and the rows, one for each segment of the window, brought to the driver."""
+    rows = sorted(document_rows(frames, events, p).collect(), key=lambda r: (r["start_us"], r["device"], r["block"], r["merged"]))
+    cover = views.coverage(frames).first()
+    gaps = sorted(views.coverage_gaps(frames, p).collect(), key=lambda r: r["start_us"])
+    entries, omitted = [], 0
+    for r in rows:
+        if _minutes(r["active_us"]) < p.min_minutes:
+            omitted += 1
+            continue
+        wall = _minutes(r["end_us"] - r["start_us"])
+        entry = {"id": f"f-{len(entries) + 1:04d}", "app": r["app"], "site": r["site"], "start": _iso(r["start_us"]), "end": _iso(r["end_us"]), "duration_min": _minutes(r["active_us"])}
+        if abs(wall - entry["duration_min"]) > 1:
+            entry["wall_min"] = wall
+        if r["windows"]:
+            entry["windows"] = list(r["windows"])
+        if r["pages"]:
+            entry["pages"] = [{"kind": x["kind"], **({"entity": x["entity"]} if x["entity"] else {}), **({"count": x["n"]} if x["n"] > 1 else {})} for x in r["pages"]]
+        given = {k: r[k] for k in ("keys", "clicks", "copies") if r[k]}
+        if given:
+            entry["input"] = given
+        if r["interruptions"]:
+            entry["interruptions"] = [{"app": i["app"], **({"site": i["site"]} if i["site"] else {}), "seconds": round(i["us"] / 1e6, 1)} for i in r["interruptions"]]
+        entry["evidence"] = {"frame_ids": f"{r['first_id']}..{r['last_id']}"}
+        entries.append({k: v for k, v in entry.items() if v is not None})
+    return {
+        "schema_version": 1,
+        "generated_at": generated_at,
+        "window": {"start_utc": window[0] if window else _iso(cover["first_us"]), "end_utc": window[1] if window else _iso(cover["last_us"])},
+        "coverage": {
+            "first_activity": _iso(cover["first_us"]), "last_activity": _iso(cover["last_us"]), "active_minutes": cover["active_minutes"], "span_minutes": cover["span_minutes"], "coverage_pct": cover["coverage_pct"], "frames_analyzed": cover["frames_analyzed"],
+            "distinct_apps": cover["distinct_apps"], "gaps": [{"start": _iso(g["start_us"]), "end": _iso(g["end_us"]), "minutes": g["minutes"]} for g in gaps],
+        },
+        "frames": entries,
+        "blind_spots": BLIND_SPOTS,
+        "omitted": {"below_min_minutes": omitted, "min_minutes": p.min_minutes},
+    }
+
+
+def to_json(doc: dict) -> str:
+    return json.dumps(doc, indent=2, ensure_ascii=False)
+
+
+def to_yaml(doc: dict) -> str:
+    """YAML if the library is there, else JSON."""
+    try:
+        import yaml
+    except ImportError:
+        return to_json(doc)
+    return yaml.safe_dump(doc, sort_keys=False, allow_unicode=True)
+
+
+def local_hm(iso: str, tz: str = "UTC") -> str:
+    return datetime.strptime(iso, "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=timezone.utc).astimezone(ZoneInfo(tz)).strftime("%H:%M")
+
+
+def _page(x: dict, counted: bool = False) -> str:
+    return ": ".join(filter(None, (x["kind"], x.get("entity")))) + (f" x{x['count']}" if counted and x.get("count") else "")
+
+
+def to_markdown(doc: dict, tz: str = "UTC") -> str:
+    c = doc["coverage"]
+    out = [f"# Activity {doc['window']['start_utc']} to {doc['window']['end_utc']}", "", f"{c['active_minutes']} active minutes of {c['span_minutes']} ({c['coverage_pct']} %)", "", "| time | app | minutes | detail |", "|---|---|---|---|"]
+    for f in doc["frames"]:
+        detail = "; ".join(map(_page, f.get("pages", [])[:3])) or "; ".join(f.get("windows", [])[:2])
+        name = f"{f['app']} ({f['site']})" if f.get("site") else f["app"]
+        out.append(f"| {local_hm(f['start'], tz)}-{local_hm(f['end'], tz)} | {name} | {f['duration_min']} | {detail.replace('|', '/')} |")
+    if c["gaps"]:
+        out += ["", "Away: " + ", ".join(f"{local_hm(g['start'], tz)}-{local_hm(g['end'], tz)} ({g['minutes']} min)" for g in c["gaps"])]
+    return "\n".join(out) + "\n"
+
+
+def context_block(doc: dict, max_frames: int = 40, tz: str = "UTC") -> str:
+    """Compact lines for a reader with a budget: the longest max_frames entries, in order of time."""
+    entries = list(enumerate(doc["frames"]))
+    kept = sorted(sorted(entries, key=lambda x: (-x[1]["duration_min"], x[0]))[:max_frames])
+    out = []
+    for _, f in kept:
+        detail = ", ".join(_page(x, True) for x in f.get("pages", [])[:4]) or "".join(f.get("windows", [])[:1])[:60]
+        keys = f.get("input", {}).get("keys", 0)
+        typed = f" | typed ~{keys} chars" if keys > 50 else ""
+        out.append(f"{local_hm(f['start'], tz)}-{local_hm(f['end'], tz)} {f['app']}{' @ ' + f['site'] if f.get('site') else ''} {f['duration_min']}m {detail}{typed}".rstrip())
+    left = len(entries) - len(kept)
+    if left:
+        out.append(f"({left} shorter entries left out)")
+    if doc["omitted"]["below_min_minutes"]:
+        out.append(f"({doc['omitted']['below_min_minutes']} entries under {doc['omitted']['min_minutes']} min left out)")
+    return "\n".join(out)
+
+
+def context_rows(segs: DataFrame, max_rows: int = 40) -> DataFrame:
+    """The longest max_rows segments with place, their order in time; for bulk output without a driver loop."""
+    top = segs.orderBy(F.desc("active_us"), "start_us", "first_id").limit(max_rows)
+    return top.withColumn("place", F.row_number().over(Window.orderBy("start_us", "first_id")))
