@@ -29,24 +29,25 @@ def occurrences(sessions: DataFrame, n: int) -> DataFrame:
     return sessions.select("session", "start_us", "path", at).select("session", "start_us", "pos", F.expr(f"slice(path, pos, {n})").alias("gram"))
 
 
-def frequent_ngrams(sessions: DataFrame, least: int = 3, shortest: int = 3, longest: int = 60) -> DataFrame:
-    """gram, n, cnt of n-grams that occur least times, level by level: an n-gram can be frequent only if both its
-    (n-1)-grams are, so each level is counted over occurrences that survive the one before, and it ends when none do."""
-    levels = []
-    alive = None
-    for n in range(shortest, longest + 1):
-        occ = occurrences(sessions, n)
+def frequent_ngrams(sessions: DataFrame, least: int = 3, shortest: int = 3, longest: int = 60, levels: int = 4) -> DataFrame:
+    """gram, n, cnt, first of n-grams that occur least times. Lengths are counted levels at a time; an n-gram can be
+    frequent only if both its (n-1)-grams are, so each pass goes over occurrences that survive the one before, and
+    it ends when none do."""
+    found, alive = [], None
+    sessions = sessions.persist()
+    for lo in range(shortest, longest + 1, levels):
+        hi = min(lo + levels - 1, longest)
+        n = F.explode(F.when(F.size("path") >= lo, F.sequence(F.lit(lo), F.least(F.size("path"), F.lit(hi))))).alias("n")
+        occ = sessions.select("session", "start_us", "path", n).select("session", "start_us", "path", "n", F.explode(F.sequence(F.lit(1), F.size("path") - F.col("n") + 1)).alias("pos"))
         if alive is not None:
-            good = alive.select("session", "pos")
-            occ = occ.join(good, ["session", "pos"], "left_semi").join(good.select("session", (F.col("pos") - 1).alias("pos")), ["session", "pos"], "left_semi")
-        counts = occ.groupBy("gram").agg(F.count("*").alias("cnt"), F.min(F.struct("start_us", "session", "pos")).alias("first")).where(F.col("cnt") >= least).withColumn("n", F.lit(n)).persist()
-        if counts.isEmpty():
+            occ = occ.join(alive, ["session", "pos"], "left_semi").join(alive.select("session", (F.col("pos") - 1).alias("pos")), ["session", "pos"], "left_semi")
+        occ = occ.select("session", "start_us", "pos", "n", F.slice("path", F.col("pos"), F.col("n")).alias("gram"))
+        counts = occ.groupBy("gram", "n").agg(F.count("*").alias("cnt"), F.min(F.struct("start_us", "session", "pos")).alias("first")).where(F.col("cnt") >= least).persist()
+        found.append(counts)
+        if hi == longest or counts.where(F.col("n") == hi).isEmpty():
             break
-        levels.append(counts)
-        alive = occ.join(counts.select("gram"), "gram", "left_semi").select("session", "pos").persist()
-    if not levels:
-        return sessions.sparkSession.createDataFrame([], "gram array<string>, n int, cnt long, first struct<start_us: long, session: string, pos: int>")
-    return reduce(DataFrame.unionByName, levels).select("gram", "n", "cnt", "first")
+        alive = occ.where(F.col("n") == hi).join(counts.select("gram"), "gram", "left_semi").select("session", "pos").persist()
+    return reduce(DataFrame.unionByName, found).select("gram", "n", "cnt", "first")
 
 
 def specific(grams: DataFrame, least: int = 2) -> DataFrame:

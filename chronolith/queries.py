@@ -8,7 +8,7 @@ from . import sources
 from .functions import apex, clean_name, click_step, confidence, decode_text, hostname, is_destructive, is_specific, path_parts, slug, tokens, ts_us, type_step, unquote, url_template
 from .functions.entities import with_page
 from .operators import mining, spatial, steps, temporal, views
-from .params import DEFAULT, SCALED
+from .params import DEFAULT, SCALED, Params
 
 U = sources.frames_by_user
 G = sources.frames_global
@@ -174,7 +174,7 @@ def _steps(spark, d):
 
 def _find(spark, d):
     spans = _spans(spark, d)
-    return steps.find(steps.steps(spans, _step_events(spark, d)), spans, "view the purchase")
+    return steps.find(steps.steps(spans, _step_events(spark, d)), spans, "the view")
 
 
 def _enrich(spark, d):
@@ -203,7 +203,7 @@ def queries() -> dict:
         "nearest_with_tolerance": _tolerance,
         "url_typing": _urls,
         "scalar_functions": _scalars,
-        "pages_per_segment": lambda s, d: views.segment_pages(_pages(s, d)).groupBy("kind", "entity").agg(F.sum("n").alias("n"), F.count("*").alias("segments")),
+        "pages_per_segment": lambda s, d: views.segment_pages(_pages(s, d), Params(merge_flicker=0)).groupBy("kind", "entity").agg(F.sum("n").alias("n"), F.count("*").alias("segments")),
         "comm_surfaces": _comm,
         "repeated_clicks": lambda s, d: views.repeated_clicks(_clicks(s, d)),
         "url_patterns": lambda s, d: views.url_patterns(_pages(s, d)),
@@ -394,10 +394,10 @@ s1 AS (SELECT *, CASE kind WHEN 'click' THEN url END AS page FROM s0), s2 AS (SE
 s3 AS (SELECT key, CAST(nn AS INT) AS n, CASE kind WHEN 'click' THEN 'click' ELSE 'type' END AS op, CASE kind WHEN 'click' THEN element_name END AS target, element_role AS role, CASE WHEN page IS DISTINCT FROM before THEN page END AS url, CASE kind WHEN 'text' THEN text END AS text, CASE kind WHEN 'text' THEN CAST(length(text) AS INT) END AS chars, id AS event_id, true AS resolved FROM s2)"""
     o["steps_script"] = f"{stp} SELECT * FROM s3"
     o["find_frame"] = f"""{stp}, g AS (SELECT key, lower(string_agg(url, ' ')) AS urls, lower(string_agg(target, ' ')) AS targets FROM s3 GROUP BY key), k AS (SELECT g.*, sn.app FROM g JOIN sn USING (key)),
-c AS (SELECT *, lower(last_value(url IGNORE NULLS) OVER (PARTITION BY key ORDER BY n)) AS page FROM s3), d AS (SELECT key, count(*) FILTER (op = 'click' AND role = 'Button' AND (contains(page, 'view') OR contains(page, 'purchase'))) AS task_clicks, arg_min(url, n) FILTER (url IS NOT NULL AND (contains(page, 'view') OR contains(page, 'purchase'))) AS from_url FROM c GROUP BY key),
-sc AS (SELECT key, {' + '.join(f"(CASE WHEN contains(urls, '{w}') THEN 3 ELSE 0 END) + (CASE WHEN contains(targets, '{w}') THEN 2 ELSE 0 END) + (CASE WHEN contains(app, '{w}') THEN 1 ELSE 0 END)" for w in ('view', 'purchase'))} AS score,
-{' AND '.join(f"(contains(coalesce(urls, ''), '{w}') OR contains(coalesce(targets, ''), '{w}') OR contains(app, '{w}'))" for w in ('view', 'purchase'))} AS ok FROM k)
+c AS (SELECT *, lower(last_value(url IGNORE NULLS) OVER (PARTITION BY key ORDER BY n)) AS page FROM s3), d AS (SELECT key, count(*) FILTER (op = 'click' AND role = 'Button' AND contains(page, 'view')) AS task_clicks, arg_min(url, n) FILTER (url IS NOT NULL AND contains(page, 'view')) AS from_url FROM c GROUP BY key),
+sc AS (SELECT key, {' + '.join(f"(CASE WHEN contains(urls, '{w}') THEN 3 ELSE 0 END) + (CASE WHEN contains(targets, '{w}') THEN 2 ELSE 0 END) + (CASE WHEN contains(app, '{w}') THEN 1 ELSE 0 END)" for w in ('view',))} AS score,
+{' AND '.join(f"(contains(coalesce(urls, ''), '{w}') OR contains(coalesce(targets, ''), '{w}') OR contains(app, '{w}'))" for w in ('view',))} AS ok FROM k)
 SELECT key, CAST(score AS INT) AS score, task_clicks, from_url FROM sc JOIN d USING (key) WHERE ok AND task_clicks > 0"""
     o["context_topk"] = f"{_WU}, t AS (SELECT * FROM seg ORDER BY active_us DESC, start_us, first_id LIMIT 40) SELECT CAST(row_number() OVER (ORDER BY start_us, first_id) AS INT) AS place, device, app, start_us, active_us FROM t"
-    o["stream_blocks"] = f"WITH {_ev(_USER)}, g AS (SELECT *, sum(CASE WHEN gap > 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY device ORDER BY ts_us, id) AS k FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY device ORDER BY ts_us, id) AS gap FROM ev)) SELECT device, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n FROM g GROUP BY device, k"
+    o["stream_blocks"] = f"WITH {_ev(_USER)}, g AS (SELECT *, sum(CASE WHEN gap > 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY device ORDER BY ts_us, id) AS blk FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY device ORDER BY ts_us, id) AS gap FROM ev)) SELECT device, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n FROM g GROUP BY device, blk"
     return o
