@@ -26,8 +26,9 @@ COORDINATES, MATCH = 64, 38
 CACHE = 300_000
 #: Ids that are broadcast at most; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
-#: Rounds of hubs before the pairs between components of a list are listed one by one, and lists so short that they are at once.
-HUBS, LIST = 5, 16
+#: Rounds of hubs before the pairs between components of a list are listed one by one, and the pairs for each member
+#: of the open lists up to which they are listed after the first round.
+HUBS, LIST = 3, 16
 _rng = np.random.default_rng(20240229)
 _STEP = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _COORD = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -40,22 +41,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class Known(dict):
+    """Values of a function, kept until there are CACHE."""
+
+    def __init__(self, function):
+        self.function = function
+
+    def __missing__(self, key):
+        value = self[key] = self.function(key)
+        return value
+
+    def of(self, keys):
+        if len(self) > CACHE:
+            self.clear()
+        return map(self.__getitem__, keys)
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of the word shingles of texts; a cache of word hashes."""
 
     def __init__(self, size: int):
         import xxhash
 
-        self.size, self.hash, self.known = size, xxhash.xxh3_64_intdigest, {}
+        self.size, self.known = size, Known(xxhash.xxh3_64_intdigest)
 
     def words(self, text: str | None) -> np.ndarray:
-        known, own = self.known, (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if len(known) > CACHE:
-            known.clear()
-        for w in own:
-            if w not in known:
-                known[w] = self.hash(w)
-        return np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
+        own = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        return np.fromiter(self.known.of(own), np.uint64, len(own))
 
     def __call__(self, text: str | None) -> np.ndarray:
         w = self.words(text)
@@ -111,9 +123,9 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
-def with_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """left_semi or left_anti join on doc_id; ids (materialised) is broadcast only if it is small."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+def with_ids(df: DataFrame, ids: DataFrame, how: str, column: str | list[str] = "doc_id") -> DataFrame:
+    """left_semi or left_anti join on column; ids (materialised) is broadcast only if it is small."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -176,20 +188,21 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
         todo = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
         if not todo["p"]:
             break
-        last = wave > HUBS or todo["p"] <= LIST * todo["n"]
-        short = F.lit(True) if last else (F.col("n") <= LIST if wave == 0 else F.lit(False))
-        whole = at.join(open_.where(short).select("key"), "key")
-        other = whole.select("key", F.col("id").alias("id2"), F.col("component").alias("component2"))
-        pairs = whole.join(other, "key").where("component < component2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
-        if not last:
-            long_ = open_.where(~short).select("key", "hub")
+        last = wave > HUBS or todo["p"] <= (LIST if wave else 1) * todo["n"]
+        if last:
+            whole = at.join(open_.select("key"), "key")
+            other = whole.select("key", F.col("id").alias("id2"), F.col("component").alias("component2"))
+            pairs = whole.join(other, "key").where("component < component2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+        else:
+            long_ = open_.select("key", "hub")
             ends = _at(long_.select("hub").distinct(), component, "hub", "of")
             held = at.join(long_, "key").join(ends, "hub").where("component <> of")
-            pairs = pairs.union(held.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")))
+            pairs = held.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
             left = materialize(left.join(long_.select("key"), "key", "left_semi"))
         found = materialize(confirm(pairs.distinct(), sets, sigs, percent))
-        links = found if links is None else links.union(found)
-        component = _components(links)
+        if not found.isEmpty():
+            known = links if component is None else component.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            component = _components(found if known is None else known.union(found))
         if last:
             break
     named = classes.select("digest", "id")
