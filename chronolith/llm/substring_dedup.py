@@ -6,6 +6,11 @@ DEPTH rows; these sketches are merged by stripe, and what is kept is one bit for
 Only windows whose minimizer has that bit in every row are grouped, exactly, by 128-bit hashes of their words; no
 window that two documents share can be lost. The size of the bits is fixed by CELLS and DEPTH; with more
 minimizers than cells the filter lets more through, and the result stays the same.
+
+Two things keep the second pass small. Of rows with equal texts only the one with the least doc_id takes part: in
+the others every window is repeated. And each task settles its own windows first: of a hash only the rows of its
+least document go on, the rest are removals already, as runs of words. So a passage that is in a third of all
+documents is met once for each task, not once for each document.
 """
 
 from __future__ import annotations
@@ -14,18 +19,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Shared, materialize, table, worker_cache
-from .minhash_dedup import mix
+from .minhash_dedup import BROADCAST_IDS, Known, mix, with_ids
 
 WINDOW, GRAM = 13, 5
 #: Cells in a row of the sketch, rows, and cells in a stripe.
 CELLS, DEPTH, STRIPE = 1 << 27, 2, 1 << 16
-CACHE = 300_000
-#: Ids that are broadcast at most; beyond it the join shuffles.
-BROADCAST_IDS = 500_000
+#: A row: its document, and a hash of both so that rows that share a doc_id stay apart.
+KEY = ["doc_id", "row_id"]
+#: Windows that a task settles at once at most.
+SETTLED = 2_000_000
 _B = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _ROW = np.array([0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 _SHIFT = np.uint64(64 - (CELLS.bit_length() - 1))
@@ -37,16 +43,11 @@ class Words:
     def __init__(self):
         import xxhash
 
-        self.hash, self.known = xxhash.xxh3_64_intdigest, {}
+        self.known = Known(xxhash.xxh3_64_intdigest)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        known, own = self.known, (text or "").encode("utf-8", "surrogatepass").split()
-        if len(known) > CACHE:
-            known.clear()
-        for w in own:
-            if w not in known:
-                known[w] = self.hash(w)
-        return np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
+        own = (text or "").encode("utf-8", "surrogatepass").split()
+        return np.fromiter(self.known.of(own), np.uint64, len(own))
 
 
 def rolled(words: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
@@ -129,8 +130,20 @@ def merged_sketch(sketches: DataFrame) -> DataFrame:
     return sketches.repartition("stripe").mapInArrow(run, "stripe int, bits binary")
 
 
+def settle(h: np.ndarray, g: np.ndarray, row: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which windows (hash h, g) of a task's rows aren't of the row with the least rank among those with their hash."""
+    order = np.lexsort((rank[row], g, h))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+    least = rank[row[order]][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    out = np.zeros(len(order), bool)
+    out[order] = rank[row[order]] > least
+    return out
+
+
 def repeated_windows(docs: DataFrame, shared) -> DataFrame:
-    """a, b (the window's hash), doc_id, text_hash, at (its first word), of windows that may be repeated."""
+    """a, b (the window's hash), row_id, doc_id, at (its first word), n: windows that may be repeated (n is 0), and runs
+    of n windows that are (a and b are spread at random)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -142,9 +155,10 @@ def repeated_windows(docs: DataFrame, shared) -> DataFrame:
                 bits[s * STRIPE // 8 : (s + 1) * STRIPE // 8] = np.frombuffer(b, np.uint8)
             held["sketch"] = shared.id, bits
         bits, own = held["sketch"][1], Words()
+        part: list = []
+        size = 0
         for batch in batches:
-            out, size = [], 0
-            for doc, text, code in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("text_hash").to_pylist()):
+            for doc, text, code in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("row_id").to_pylist()):
                 w = own(text.as_py())
                 if len(w) < WINDOW:
                     continue
@@ -155,19 +169,34 @@ def repeated_windows(docs: DataFrame, shared) -> DataFrame:
                     hit &= (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
                 at = np.flatnonzero(hit[back])
                 if len(at):
-                    out.append((rolled(w, WINDOW, _B[0])[at], rolled(w, WINDOW, _B[1])[at], np.full(len(at), doc), np.full(len(at), code), at.astype(np.int32)))
+                    part.append((doc, code, rolled(w, WINDOW, _B[0])[at], rolled(w, WINDOW, _B[1])[at], at.astype(np.int32)))
                     size += len(at)
-                if size > 200_000:
-                    yield frame(pa, out)
-                    out, size = [], 0
-            if out:
-                yield frame(pa, out)
-
-    def frame(pa, out):
-        a, b, doc, code, at = (np.concatenate(x) for x in zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(code), pa.array(at)], ["a", "b", "doc_id", "text_hash", "at"])
-
-    return docs.where("doc_id is not null").select("doc_id", "text", "text_hash").mapInArrow(run, "a long, b long, doc_id long, text_hash long, at int")
+                if size > SETTLED:
+                    yield from settled(pa, part)
+                    part, size = [], 0
+        if part:
+            yield from settled(pa, part)
+
+    def settled(pa, part):
+        docs, codes = np.array([p[0] for p in part], np.int64), np.array([p[1] for p in part], np.int64)
+        row = np.repeat(np.arange(len(part)), [len(p[2]) for p in part])
+        h, g, at = (np.concatenate([p[i] for p in part]) for i in (2, 3, 4))
+        gone = settle(h, g, row, docs)
+        # runs of neighbouring windows of a row that are gone
+        i = np.flatnonzero(gone)
+        first = np.ones(len(i), bool)
+        first[1:] = (row[i[1:]] != row[i[:-1]]) | (at[i[1:]] != at[i[:-1]] + 1)
+        start = np.flatnonzero(first)
+        n = np.diff(np.append(start, len(i))).astype(np.int32)
+        i = i[start]
+        spread = mix(codes[row[i]].view(np.uint64) + at[i].astype(np.uint64))
+        j = np.flatnonzero(~gone)
+        row = np.concatenate([row[i], row[j]])
+        columns = [np.concatenate([spread, h[j]]).view(np.int64), np.concatenate([spread, g[j]]).view(np.int64), codes[row], docs[row], np.concatenate([at[i], at[j]]), np.concatenate([n, np.zeros(len(j), np.int32)])]
+        for k in range(0, len(row), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], ["a", "b", "row_id", "doc_id", "at", "n"])
+
+    return docs.select("doc_id", "text", "row_id").mapInArrow(run, "a long, b long, row_id long, doc_id long, at int, n int")
 
 
 def remove_repeats(docs: DataFrame, *, with_text: bool = True) -> DataFrame:
@@ -178,23 +207,24 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = True) -> DataFrame:
     neither removes nor loses words; rows that share a doc_id are the same document and remove nothing from each
     other. Other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("text_hash", F.xxhash64("text"))
-    sketch = merged_sketch(partition_sketch(rows)).collect()  # CELLS * DEPTH bits at most
+    rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("row_id", F.xxhash64("doc_id", "text"))
+    # rows whose text an earlier document has too
+    texts = rows.where("doc_id is not null").select("doc_id", "row_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    owner = texts.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = materialize(texts.join(owner, "digest").where("doc_id > lo").select(*KEY).distinct())
+    own = with_ids(rows.where("doc_id is not null"), copies, "left_anti", KEY)
+    sketch = merged_sketch(partition_sketch(own)).collect()  # CELLS * DEPTH bits at most
     shared = Shared(docs.sparkSession, [(r["stripe"], bytes(r["bits"])) for r in sketch])
-    windows = materialize(repeated_windows(rows, shared))
-    first = windows.groupBy("a", "b").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    hits = windows.join(first, ["a", "b"]).where("doc_id > lo").select("doc_id", "text_hash", "at")
-    hits = materialize(hits.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("at")))
-    none = F.lit(None).cast("array<int>").alias("at")
-    joined = hits.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "at")
-    same = (F.col("doc_id") == F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
-    if hits.count() <= BROADCAST_IDS:
-        ids = F.broadcast(joined.select("hit_id", "hit_hash"))
-        clean = rows.join(ids, same, "left_anti").select("doc_id", "text", none)
-        touched = rows.join(ids, same, "left_semi")
-        every = clean.union(touched.join(joined, same).select("doc_id", "text", "at"))
-    else:
-        every = rows.join(joined, same, "left").select("doc_id", "text", "at")
+    windows = repeated_windows(own, shared)
+    lo = F.min("doc_id").over(Window.partitionBy("a", "b"))
+    hits = windows.withColumn("lo", lo).where("n > 0 or doc_id > lo").select(*KEY, "at", F.greatest("n", F.lit(1)).alias("n"))
+    hits = hits.groupBy(*KEY).agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    whole = copies.select(*KEY, F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n"))).alias("runs"))
+    hits = materialize(hits.union(whole))
+    ids = hits.select(*KEY)
+    hint = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    clean = rows.join(hint, KEY, "left_anti").select("doc_id", "text", F.lit(None).cast(hits.schema["runs"].dataType).alias("runs"))
+    every = clean.union(rows.join(hint, KEY, "left_semi").join(hits, KEY).select("doc_id", "text", "runs"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
 
     def run(batches: Iterator) -> Iterator:
@@ -202,15 +232,18 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = True) -> DataFrame:
 
         for batch in batches:
             out = []
-            for text, at in zip(batch.column("text"), batch.column("at")):
+            for text, runs in zip(batch.column("text"), batch.column("runs")):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
                 kept = words
-                if at.is_valid:
-                    cover = np.zeros(len(words) + 1, np.int32)
-                    starts = at.values.to_numpy()
-                    np.add.at(cover, starts, 1)
-                    np.add.at(cover, starts + WINDOW, -1)
-                    kept = [words[i] for i in np.flatnonzero(np.cumsum(cover[:-1]) == 0)]
+                if runs.is_valid:
+                    at, n = (runs.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                    if at[0] < 0:  # an earlier document has the whole text
+                        kept = words if len(words) < WINDOW else []
+                    else:
+                        cover = np.zeros(len(words) + 1, np.int32)
+                        np.add.at(cover, at, 1)
+                        np.add.at(cover, at + n + (WINDOW - 1), -1)
+                        kept = [words[i] for i in np.flatnonzero(np.cumsum(cover[:-1]) == 0)]
                 data = b" ".join(kept)
                 row = len(words), len(words) - len(kept), hashlib.sha256(data).hexdigest()
                 out.append((*row, data.decode("utf-8", "surrogatepass")) if with_text else row)
