@@ -27,8 +27,8 @@ CACHE = 300_000
 #: Ids that are broadcast at most; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 #: Rounds of hubs before the pairs between components of a list are listed one by one, and the pairs for each member
-#: of the open lists up to which they are listed after the first round.
-HUBS, LIST = 3, 16
+#: of the open lists up to which they are listed at once.
+HUBS, LIST = 1, 1
 _rng = np.random.default_rng(20240229)
 _STEP = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _COORD = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,16 +111,16 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, shingles (the sorted distinct hashes, packed)."""
+    """doc_id, shingles (the sorted distinct hashes)."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         own = Shingler(shingle)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([own(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([own(t.as_py()).view(np.int64) for t in batch.column("text")], pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def with_ids(df: DataFrame, ids: DataFrame, how: str, column: str | list[str] = "doc_id") -> DataFrame:
@@ -146,18 +146,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, sigs: DataFrame, percent: int) ->
     near = near.where(hits >= MATCH).select("a", "b").distinct()
     both = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            keep = []
-            for xa, xb in zip(batch.column("xa"), batch.column("xb")):
-                p, q = np.frombuffer(xa.as_py(), np.uint64), np.frombuffer(xb.as_py(), np.uint64)
-                shared = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                keep.append(100 * shared >= percent * (len(p) + len(q) - shared) and len(p) > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
+    shared = F.size(F.array_intersect("xa", "xb"))
+    return both.where(100 * shared >= percent * (F.size("xa") + F.size("xb") - shared)).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -170,7 +160,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     """
     own = materialize(sketches(docs, shingle))
     real = own.where("doc_id is not null and digest is not null")
-    classes = materialize(real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
+    classes = materialize(real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")))
     lists = materialize(postings(classes))
     used = materialize(lists.select(F.col("id").alias("doc_id")).distinct())
     sets = materialize(shingle_sets(with_ids(docs.where("doc_id is not null"), used, "left_semi"), shingle).distinct())
@@ -182,21 +172,18 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
         at = _at(left, component, "id", "component")
         each = at.groupBy("key", "component").agg(F.count("*").alias("n"), F.min_by("id", F.struct(F.xxhash64(F.lit(wave), "id"), "id") if wave else F.col("id")).alias("hub"))
         sizes = each.groupBy("key").agg(
-            F.sum("n").alias("n"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.max_by("hub", F.struct("n", F.xxhash64("hub"))).alias("hub")
+            F.sum("n").alias("n"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.max_by(F.struct("hub", F.col("component").alias("of")), F.struct("n", F.xxhash64("hub"))).alias("hub")
         )
         open_ = materialize(sizes.where("pairs > 0"))
         todo = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
         if not todo["p"]:
             break
-        last = wave > HUBS or todo["p"] <= (LIST if wave else 1) * todo["n"]
+        last = wave > HUBS or todo["p"] <= LIST * todo["n"]
         if last:
-            whole = at.join(open_.select("key"), "key")
-            other = whole.select("key", F.col("id").alias("id2"), F.col("component").alias("component2"))
-            pairs = whole.join(other, "key").where("component < component2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+            pairs = _between(at.join(open_.select("key"), "key"), lists, classes, percent)
         else:
-            long_ = open_.select("key", "hub")
-            ends = _at(long_.select("hub").distinct(), component, "hub", "of")
-            held = at.join(long_, "key").join(ends, "hub").where("component <> of")
+            long_ = open_.select("key", "hub.hub", "hub.of")
+            held = at.join(long_, "key").where("component <> of")
             pairs = held.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
             left = materialize(left.join(long_.select("key"), "key", "left_semi"))
         found = materialize(confirm(pairs.distinct(), sets, sigs, percent))
@@ -215,6 +202,18 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     return out.select("doc_id", "n_shingles", linked.alias("component_id"), F.coalesce(F.col("doc_id") == linked, F.lit(True)).alias("kept"))
 
 
+def _between(at: DataFrame, lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs between the components of each list of at (key, id, component). A pair is made in one list only,
+    the first that both are in, and only if it collides in MATCH coordinates and the sizes of the sets allow it."""
+    keys = lists.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # two prefixes at most, as a rule one
+    x = at.join(keys, "id").join(classes.select("id", "sig", "n_shingles"), "id")
+    y = x.select("key", *[F.col(c).alias(f"{c}_2") for c in ("id", "component", "keys", "sig", "n_shingles")])
+    small, large = F.least("n_shingles", "n_shingles_2"), F.greatest("n_shingles", "n_shingles_2")
+    hits = F.size(F.filter(F.zip_with("sig", "sig_2", lambda a, b: a == b), lambda h: h))
+    near = (F.col("component") < F.col("component_2")) & (100 * small >= percent * large) & (F.array_min(F.array_intersect("keys", "keys_2")) == F.col("key")) & (hits >= MATCH)
+    return x.join(y.withColumnRenamed("key", "key_2"), (F.col("key") == F.col("key_2")) & near).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"))
+
+
 def _at(ids: DataFrame, component: DataFrame | None, name: str, to: str) -> DataFrame:
     """ids with the component of column name as column to; without links each id is its own."""
     if component is None:

@@ -210,7 +210,7 @@ def remove_repeats(docs: DataFrame, *, with_text: bool = True) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("row_id", F.xxhash64("doc_id", "text"))
     # rows whose text an earlier document has too
     texts = rows.where("doc_id is not null").select("doc_id", "row_id", F.unhex(F.sha2("text", 256)).alias("digest"))
-    owner = texts.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.count("*").alias("n")).where("n > 1").drop("n")
+    owner = materialize(texts.groupBy("digest").agg(F.min("doc_id").alias("lo"), F.count("*").alias("n")).where("n > 1").drop("n"))  # so that the join of a hot text can be split
     copies = materialize(texts.join(owner, "digest").where("doc_id > lo").select(*KEY).distinct())
     own = with_ids(rows.where("doc_id is not null"), copies, "left_anti", KEY)
     sketch = merged_sketch(partition_sketch(own)).collect()  # CELLS * DEPTH bits at most

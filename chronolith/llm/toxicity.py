@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import Shared, held_out, table, worker_cache
 
 #: Labelled documents that are learned from at most (those with the smallest hash of their id).
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 10_000
 BUCKETS = 1 << 20
 #: Terms that are learned at most, least number of sample documents with a term, and factors of each.
 TERMS, LEAST_DOCS, FACTORS = 4_096, 4, 8
