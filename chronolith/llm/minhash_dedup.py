@@ -8,7 +8,7 @@ included) are merged; the rest of the lists, the long ones, are skipped and coun
 A list of n classes isn't expanded to all its pairs: each member is first held against one hub of the list, then
 linked classes are contracted, and only lists that still hold several components go on, to another hub and at
 last to the pairs between their components. Every candidate pair is thus confirmed, or joins classes that are
-connected already.
+connected already, or is refuted by an exact bound: shingles that one document alone has are in no intersection.
 """
 
 from __future__ import annotations
@@ -139,6 +139,26 @@ def postings(classes: DataFrame) -> DataFrame:
     return own.where(take > 0).select("id", F.explode(F.slice("own", F.lit(1), take)).alias("p")).select("p.key", "id").distinct()
 
 
+def reachable(posted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """key, id, n, reach, rare of the postings that may be linked with another in their list.
+
+    Shingles that no other posted document has are in no intersection. So of a set of n shingles of which c are shared,
+    partners have at most reach = c * (100 + percent) / percent - n shingles, and at least percent of n; a posting whose
+    reach is below the least set of its list, or whose set is above the greatest reach, has no partner there. rare is
+    the share of unshared shingles in millionths. Rows that share a doc_id get the bounds of all their sets together.
+    """
+    each = sets.select("doc_id", F.explode("shingles").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id")).where("k = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
+    size = F.size("shingles").cast("long")
+    bounds = sets.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(size).alias("n"), F.max(size).alias("most")).join(alone, "doc_id", "left")
+    shared = F.when(F.col("rows") > 1, F.col("most")).otherwise(F.col("n") - F.coalesce("alone", F.lit(0)))
+    bounds = bounds.withColumn("c", shared).selectExpr("doc_id as id", "n", f"(c * {100 + percent}) div {percent} - n as reach", "((most - c) * 1000000) div most as rare")
+    bounds = materialize(bounds.where(f"100 * reach >= {percent} * n"))
+    own = posted.join(bounds, "id")
+    ends = own.groupBy("key").agg(F.min("n").alias("least"), F.max("reach").alias("far"), F.count("*").alias("k")).where("k > 1")
+    return own.join(ends, "key").where("reach >= least and n <= far").select("key", "id", "n", "reach", "rare")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Of the distinct pairs (a, b), those that collide in MATCH coordinates and whose sets are as similar as asked."""
     near = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
@@ -160,19 +180,24 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     """
     own = materialize(sketches(docs, shingle))
     real = own.where("doc_id is not null and digest is not null")
-    classes = materialize(real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")))
-    lists = materialize(postings(classes))
-    used = materialize(lists.select(F.col("id").alias("doc_id")).distinct())
+    classes = materialize(real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
+    posted = materialize(postings(classes))
+    used = materialize(posted.select(F.col("id").alias("doc_id")).distinct())
     sets = materialize(shingle_sets(with_ids(docs.where("doc_id is not null"), used, "left_semi"), shingle).distinct())
+    lists = materialize(reachable(posted, sets, percent))
+    sets = materialize(with_ids(sets, materialize(lists.select(F.col("id").alias("doc_id")).distinct()), "left_semi"))
     sigs = classes.select("id", "sig")
     links = _shared_ids(real, classes)
     component = _components(links)
     left = lists
     for wave in range(HUBS + 2):
         at = _at(left, component, "id", "component")
-        each = at.groupBy("key", "component").agg(F.count("*").alias("n"), F.min_by("id", F.struct(F.xxhash64(F.lit(wave), "id"), "id") if wave else F.col("id")).alias("hub"))
+        own_hub = F.struct(F.xxhash64(F.lit(wave), "id") if wave else F.col("rare"), "id")
+        each = at.groupBy("key", "component").agg(F.count("*").alias("n_ids"), F.min("rare").alias("rare"), F.min_by(F.struct("id", "n", "reach"), own_hub).alias("hub"))
         sizes = each.groupBy("key").agg(
-            F.sum("n").alias("n"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.max_by(F.struct("hub", F.col("component").alias("of")), F.struct("n", F.xxhash64("hub"))).alias("hub")
+            F.sum("n_ids").alias("n"),
+            ((F.sum("n_ids") * F.sum("n_ids") - F.sum(F.col("n_ids") * F.col("n_ids"))) / 2).alias("pairs"),
+            F.max_by(F.struct("hub", F.col("component").alias("of")), F.struct("n_ids", -F.col("rare"), F.xxhash64("hub.id"))).alias("hub"),
         )
         open_ = materialize(sizes.where("pairs > 0"))
         todo = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("p"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -180,10 +205,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
             break
         last = wave > HUBS or todo["p"] <= LIST * todo["n"]
         if last:
-            pairs = _between(at.join(open_.select("key"), "key"), lists, classes, percent)
+            pairs = _between(at.join(open_.select("key", "hub.of"), "key"), lists, sigs)
         else:
-            long_ = open_.select("key", "hub.hub", "hub.of")
-            held = at.join(long_, "key").where("component <> of")
+            long_ = open_.select("key", F.col("hub.hub.id").alias("hub"), F.col("hub.hub.n").alias("hub_n"), F.col("hub.hub.reach").alias("hub_reach"), "hub.of")
+            held = at.join(long_, "key").where("component <> of and n <= hub_reach and hub_n <= reach")
             pairs = held.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
             left = materialize(left.join(long_.select("key"), "key", "left_semi"))
         found = materialize(confirm(pairs.distinct(), sets, sigs, percent))
@@ -202,16 +227,18 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     return out.select("doc_id", "n_shingles", linked.alias("component_id"), F.coalesce(F.col("doc_id") == linked, F.lit(True)).alias("kept"))
 
 
-def _between(at: DataFrame, lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs between the components of each list of at (key, id, component). A pair is made in one list only,
-    the first that both are in, and only if it collides in MATCH coordinates and the sizes of the sets allow it."""
+def _between(at: DataFrame, lists: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Candidate pairs between the components of each list of at (key, id, component, n, reach, of). Each document outside
+    of, the largest component of its list, meets the others. A pair is made in one list only, the first that both are in,
+    and only if it collides in MATCH coordinates and each is in the other's reach."""
     keys = lists.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # two prefixes at most, as a rule one
-    x = at.join(keys, "id").join(classes.select("id", "sig", "n_shingles"), "id")
-    y = x.select("key", *[F.col(c).alias(f"{c}_2") for c in ("id", "component", "keys", "sig", "n_shingles")])
-    small, large = F.least("n_shingles", "n_shingles_2"), F.greatest("n_shingles", "n_shingles_2")
+    y = at.select("key", "id", "component", "n", "reach", "of").join(keys, "id").join(sigs, "id")
+    x = y.where("component <> of")
+    y = y.select(F.col("key").alias("key_2"), *[F.col(c).alias(f"{c}_2") for c in ("id", "component", "n", "reach", "keys", "sig")])
     hits = F.size(F.filter(F.zip_with("sig", "sig_2", lambda a, b: a == b), lambda h: h))
-    near = (F.col("component") < F.col("component_2")) & (100 * small >= percent * large) & (F.array_min(F.array_intersect("keys", "keys_2")) == F.col("key")) & (hits >= MATCH)
-    return x.join(y.withColumnRenamed("key", "key_2"), (F.col("key") == F.col("key_2")) & near).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"))
+    near = ((F.col("component_2") == F.col("of")) | (F.col("component") < F.col("component_2"))) & (F.col("n") <= F.col("reach_2")) & (F.col("n_2") <= F.col("reach"))
+    near = near & (F.array_min(F.array_intersect("keys", "keys_2")) == F.col("key")) & (hits >= MATCH)
+    return x.join(y, (F.col("key") == F.col("key_2")) & near).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"))
 
 
 def _at(ids: DataFrame, component: DataFrame | None, name: str, to: str) -> DataFrame:
