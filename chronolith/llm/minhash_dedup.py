@@ -23,6 +23,11 @@ from .common import materialize, table
 from .components import connected_components
 
 COORDINATES, MATCH = 64, 38
+#: Longs of bits that postings are held against each other by, a bit for each of so many more coordinates, and the
+#: equal bits of a candidate pair at least: a pair with similarity of 0.8 has fewer with a probability of 9 in a million.
+LONGS, EQUAL_BITS = 8, 430
+#: Shingles of the sets that are broadcast at most, 8 bytes each; beyond it confirming shuffles them.
+BROADCAST_SHINGLES = 2_000_000
 CACHE = 300_000
 #: Ids that are broadcast at most; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
@@ -32,6 +37,7 @@ HUBS, LIST = 1, 1
 _rng = np.random.default_rng(20240229)
 _STEP = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _COORD = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BITS = _rng.integers(1, 1 << 63, 64 * LONGS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -81,11 +87,11 @@ class Shingler:
         return np.unique(mix(h))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, by: np.ndarray = _COORD) -> np.ndarray:
     """The least upper halves of the shingles under each coordinate's multiplication."""
-    best = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
+    best = np.full(len(by), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 2048):
-        np.minimum(best, (shingles[i : i + 2048, None] * _COORD).min(axis=0), out=best)
+        np.minimum(best, (shingles[i : i + 2048, None] * by).min(axis=0), out=best)
     return (best >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
@@ -123,6 +129,19 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
+def with_bits(sets: DataFrame) -> DataFrame:
+    """doc_id, bits: the lowest bit of each of 64 * LONGS coordinates, as longs."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            bits = [np.packbits((signature(s.values.to_numpy().view(np.uint64), _BITS) & 1).astype(np.uint8)).view(np.int64) for s in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "bits"])
+
+    return sets.mapInArrow(run, "doc_id long, bits array<long>")
+
+
 def with_ids(df: DataFrame, ids: DataFrame, how: str, column: str | list[str] = "doc_id") -> DataFrame:
     """left_semi or left_anti join on column; ids (materialised) is broadcast only if it is small."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, column, how)
@@ -159,15 +178,26 @@ def reachable(posted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return own.join(ends, "key").where("reach >= least and n <= far").select("key", "id", "n", "reach", "rare")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Of the distinct pairs (a, b), those that collide in MATCH coordinates and whose sets are as similar as asked."""
-    near = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    hits = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-    near = near.where(hits >= MATCH).select("a", "b").distinct()
-    both = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
+def collide(a: str, b: str):
+    """Whether the documents with sig and bits named with the endings a and b collide as often as a candidate pair."""
+    differ = sum((F.bit_count(F.get(f"bits{a}", F.lit(i)).bitwiseXOR(F.get(f"bits{b}", F.lit(i)))) for i in range(LONGS)), F.lit(0))
+    hits = F.size(F.filter(F.zip_with(f"sig{a}", f"sig{b}", lambda x, y: x == y), lambda x: x))
+    return (differ <= 64 * LONGS - EQUAL_BITS) & (hits >= MATCH)
+
+
+def colliding(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those that collide."""
+    ends = [marks.select(F.col("id").alias(e), F.col("sig").alias(f"sig_{e}"), F.col("bits").alias(f"bits_{e}")) for e in "ab"]
+    return pairs.join(ends[0], "a").join(ends[1], (pairs["b"] == ends[1]["b"]) & collide("_a", "_b")).select("a", pairs["b"]).distinct()
+
 
+def confirm(near: DataFrame, sets: DataFrame, percent: int, small: bool) -> DataFrame:
+    """Of the distinct pairs (a, b), those whose sets are as similar as asked; small: the sets may be broadcast."""
+    ends = [sets.select(F.col("doc_id").alias(e), F.col("shingles").alias(f"x{e}")) for e in "ab"]
+    ends = [F.broadcast(e) for e in ends] if small else ends
     shared = F.size(F.array_intersect("xa", "xb"))
-    return both.where(100 * shared >= percent * (F.size("xa") + F.size("xb") - shared)).select("a", "b").distinct()
+    alike = 100 * shared >= percent * (F.size("xa") + F.size("xb") - shared)
+    return near.join(ends[0], "a").join(ends[1], (near["b"] == ends[1]["b"]) & alike).select("a", near["b"]).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -186,7 +216,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     sets = materialize(shingle_sets(with_ids(docs.where("doc_id is not null"), used, "left_semi"), shingle).distinct())
     lists = materialize(reachable(posted, sets, percent))
     sets = materialize(with_ids(sets, materialize(lists.select(F.col("id").alias("doc_id")).distinct()), "left_semi"))
-    sigs = classes.select("id", "sig")
+    small = (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= BROADCAST_SHINGLES
+    marks = materialize(with_bits(sets).withColumnRenamed("doc_id", "id").join(classes.select("id", "sig"), "id"))
     links = _shared_ids(real, classes)
     component = _components(links)
     left = lists
@@ -205,13 +236,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
             break
         last = wave > HUBS or todo["p"] <= LIST * todo["n"]
         if last:
-            pairs = _between(at.join(open_.select("key", "hub.of"), "key"), lists, sigs)
+            near = _between(at.join(open_.select("key", "hub.of"), "key"), lists, marks)
         else:
             long_ = open_.select("key", F.col("hub.hub.id").alias("hub"), F.col("hub.hub.n").alias("hub_n"), F.col("hub.hub.reach").alias("hub_reach"), "hub.of")
             held = at.join(long_, "key").where("component <> of and n <= hub_reach and hub_n <= reach")
-            pairs = held.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+            near = colliding(held.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), marks)
             left = materialize(left.join(long_.select("key"), "key", "left_semi"))
-        found = materialize(confirm(pairs.distinct(), sets, sigs, percent))
+        found = materialize(confirm(near, sets, percent, small))
         if not found.isEmpty():
             known = links if component is None else component.select(F.col("id").alias("a"), F.col("component").alias("b"))
             component = _components(found if known is None else known.union(found))
@@ -227,18 +258,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     return out.select("doc_id", "n_shingles", linked.alias("component_id"), F.coalesce(F.col("doc_id") == linked, F.lit(True)).alias("kept"))
 
 
-def _between(at: DataFrame, lists: DataFrame, sigs: DataFrame) -> DataFrame:
+def _between(at: DataFrame, lists: DataFrame, marks: DataFrame) -> DataFrame:
     """Candidate pairs between the components of each list of at (key, id, component, n, reach, of). Each document outside
     of, the largest component of its list, meets the others. A pair is made in one list only, the first that both are in,
-    and only if it collides in MATCH coordinates and each is in the other's reach."""
+    and only if it collides and each is in the other's reach."""
     keys = lists.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # two prefixes at most, as a rule one
-    y = at.select("key", "id", "component", "n", "reach", "of").join(keys, "id").join(sigs, "id")
+    y = at.select("key", "id", "component", "n", "reach", "of").join(keys, "id").join(marks, "id")
     x = y.where("component <> of")
-    y = y.select(F.col("key").alias("key_2"), *[F.col(c).alias(f"{c}_2") for c in ("id", "component", "n", "reach", "keys", "sig")])
-    hits = F.size(F.filter(F.zip_with("sig", "sig_2", lambda a, b: a == b), lambda h: h))
+    y = y.select(F.col("key").alias("key_2"), *[F.col(c).alias(f"{c}_2") for c in ("id", "component", "n", "reach", "keys", "sig", "bits")])
     near = ((F.col("component_2") == F.col("of")) | (F.col("component") < F.col("component_2"))) & (F.col("n") <= F.col("reach_2")) & (F.col("n_2") <= F.col("reach"))
-    near = near & (F.array_min(F.array_intersect("keys", "keys_2")) == F.col("key")) & (hits >= MATCH)
-    return x.join(y, (F.col("key") == F.col("key_2")) & near).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"))
+    near = near & collide("", "_2") & (F.array_min(F.array_intersect("keys", "keys_2")) == F.col("key"))
+    return x.join(y, (F.col("key") == F.col("key_2")) & near).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
 
 
 def _at(ids: DataFrame, component: DataFrame | None, name: str, to: str) -> DataFrame:
