@@ -26,8 +26,6 @@ COORDINATES, MATCH = 64, 38
 #: Longs of bits that postings are held against each other by, a bit for each of so many more coordinates, and the
 #: equal bits of a candidate pair at least: a pair with similarity of 0.8 has fewer with a probability of 9 in a million.
 LONGS, EQUAL_BITS = 8, 430
-#: Shingles of the sets that are broadcast at most, 8 bytes each; beyond it confirming shuffles them.
-BROADCAST_SHINGLES = 2_000_000
 CACHE = 300_000
 #: Ids that are broadcast at most; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
@@ -191,10 +189,9 @@ def colliding(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return pairs.join(ends[0], "a").join(ends[1], (pairs["b"] == ends[1]["b"]) & collide("_a", "_b")).select("a", pairs["b"]).distinct()
 
 
-def confirm(near: DataFrame, sets: DataFrame, percent: int, small: bool) -> DataFrame:
-    """Of the distinct pairs (a, b), those whose sets are as similar as asked; small: the sets may be broadcast."""
+def confirm(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the distinct pairs (a, b), those whose sets are as similar as asked."""
     ends = [sets.select(F.col("doc_id").alias(e), F.col("shingles").alias(f"x{e}")) for e in "ab"]
-    ends = [F.broadcast(e) for e in ends] if small else ends
     shared = F.size(F.array_intersect("xa", "xb"))
     alike = 100 * shared >= percent * (F.size("xa") + F.size("xb") - shared)
     return near.join(ends[0], "a").join(ends[1], (near["b"] == ends[1]["b"]) & alike).select("a", near["b"]).distinct()
@@ -216,7 +213,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     sets = materialize(shingle_sets(with_ids(docs.where("doc_id is not null"), used, "left_semi"), shingle).distinct())
     lists = materialize(reachable(posted, sets, percent))
     sets = materialize(with_ids(sets, materialize(lists.select(F.col("id").alias("doc_id")).distinct()), "left_semi"))
-    small = (sets.agg(F.sum(F.size("shingles"))).first()[0] or 0) <= BROADCAST_SHINGLES
     marks = materialize(with_bits(sets).withColumnRenamed("doc_id", "id").join(classes.select("id", "sig"), "id"))
     links = _shared_ids(real, classes)
     component = _components(links)
@@ -242,7 +238,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
             held = at.join(long_, "key").where("component <> of and n <= hub_reach and hub_n <= reach")
             near = colliding(held.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), marks)
             left = materialize(left.join(long_.select("key"), "key", "left_semi"))
-        found = materialize(confirm(near, sets, percent, small))
+        found = materialize(confirm(near, sets, percent))
         if not found.isEmpty():
             known = links if component is None else component.select(F.col("id").alias("a"), F.col("component").alias("b"))
             component = _components(found if known is None else known.union(found))
