@@ -24,8 +24,8 @@ from .components import connected_components
 
 COORDINATES, MATCH = 64, 38
 #: Longs of bits that postings are held against each other by, a bit for each of so many more coordinates, and the
-#: equal bits of a candidate pair at least: a pair with similarity of 0.8 has fewer with a probability of 9 in a million.
-LONGS, EQUAL_BITS = 8, 430
+#: equal bits of a candidate pair at least: a pair with similarity of 0.8 has fewer with a probability of about 1 in a million.
+LONGS, EQUAL_BITS = 16, 874
 CACHE = 300_000
 #: Ids that are broadcast at most; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
