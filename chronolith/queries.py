@@ -99,8 +99,7 @@ def _input(spark, d):
 
 
 def _arbitration(spark, d):
-    few = U(spark, d).where("device in ('1', '2', '3')")
-    return views.assigned_events(E(spark, d).drop("app", "device").where("id % 4 = 0"), few, SCALED).select("id", "device", "start_us")
+    return views.assigned_events(E(spark, d).drop("app", "device"), U(spark, d), SCALED).select("id", "device", "start_us")
 
 
 def _nearest(spark, d):
