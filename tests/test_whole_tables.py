@@ -8,7 +8,11 @@ from chronolith import queries
 
 #: Row filters of the registered SQL that the queries do not have.
 FILTERS = {
-    "device_arbitration": [" WHERE user_id IN (1, 2, 3)", " WHERE id % 4 = 0"],
+    "device_arbitration": [" WHERE user_id IN (1, 2, 3)", " WHERE id % 4 = 0", " WHERE event_id % 3 = 0"],
+    "input_asof": [" WHERE event_id % 3 = 0"],
+    "nearest_frame": [" WHERE event_id % 3 = 0"],
+    "nearest_with_tolerance": [" WHERE event_id % 3 = 0"],
+    "enriched_events": [" WHERE event_id % 3 = 0"],
 }
 
 
