@@ -44,11 +44,11 @@ def _grams(spark, d):
 
 def _elements(spark, d):
     e = sources._events(spark, d).where("event_type = 'view'")
-    return e.select("id", (F.col("user_id") % 20).alias("frame_id"), F.lit("accessibility").alias("source"), F.lit("Button").alias("role"), F.concat(F.lit("el"), "k").alias("text"), ((F.col("k") % 10) / 10.0).alias("left_bound"), ((F.col("id") % 9) / 10.0).alias("top_bound"), ((F.col("k") % 4 + 1) / 20.0).alias("width_bound"), ((F.col("id") % 3 + 1) / 20.0).alias("height_bound")).where("id % 10 = 0")
+    return e.select("id", (F.col("user_id") % 20).alias("frame_id"), F.lit("accessibility").alias("source"), F.lit("Button").alias("role"), F.concat(F.lit("el"), "k").alias("text"), ((F.col("k") % 10) / 10.0).alias("left_bound"), ((F.col("id") % 9) / 10.0).alias("top_bound"), ((F.col("k") % 4 + 1) / 20.0).alias("width_bound"), ((F.col("id") % 3 + 1) / 20.0).alias("height_bound"))
 
 
 def _points(spark, d):
-    e = sources._events(spark, d).where("event_type = 'click' and id % 5 = 0")
+    e = sources._events(spark, d).where("event_type = 'click'")
     return e.select("id", (F.col("user_id") % 20).alias("frame_id"), (F.col("id") * 37 % 1800).cast("int").alias("x"), (F.col("id") * 91 % 1117).cast("int").alias("y"))
 
 

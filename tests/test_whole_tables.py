@@ -13,6 +13,8 @@ FILTERS = {
     "nearest_frame": [" WHERE event_id % 3 = 0"],
     "nearest_with_tolerance": [" WHERE event_id % 3 = 0"],
     "enriched_events": [" WHERE event_id % 3 = 0"],
+    "click_hit_test": [" AND event_id % 10 = 0", " AND event_id % 5 = 0"],
+    "click_any_screen": [" AND event_id % 10 = 0", " AND event_id % 5 = 0"],
 }
 
 
