@@ -39,7 +39,7 @@ def _sessions(spark, d):
 
 
 def _grams(spark, d):
-    return mining.frequent_ngrams(_sessions(spark, d), least=3, longest=6)
+    return mining.frequent_ngrams(_sessions(spark, d), least=3)
 
 
 def _elements(spark, d):
@@ -134,7 +134,7 @@ def _atlas(spark, d):
 
 def _holdout(spark, d):
     train, test = mining.holdout(_sessions(spark, d), 10)
-    g = mining.specific(mining.frequent_ngrams(train, least=3, longest=5))
+    g = mining.specific(mining.frequent_ngrams(train, least=3))
     return mining.coverage_h(train, g).withColumn("part", F.lit("train")).unionByName(mining.coverage_h(test, g).withColumn("part", F.lit("test")))
 
 

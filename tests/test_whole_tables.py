@@ -1,5 +1,8 @@
 """Registered queries over all rows of the test tables: the SQL without its row filters, and plain Python models."""
 
+from collections import Counter
+from datetime import datetime, timedelta
+
 import duckdb
 import pytest
 from test_queries import SF, needs_data, plain
@@ -33,3 +36,27 @@ def test_query_equals_sql_without_filters(spark, name):
     df = queries.queries()[name](spark, SF)
     assert sorted(df.columns) == names
     assert sorted((tuple(plain(x[c]) for c in names) for x in df.collect()), key=repr) == want
+
+
+#: Steps of three users: the two specific ones are seven apart, so no shorter n-gram has both.
+PATH = ["click:0", "[error]", "[signup]", "[purchase]", "[error]", "[signup]", "view:1"]
+
+
+@pytest.fixture
+def long_routine(spark, tmp_path):
+    rows = []
+    for user in range(3):
+        for i, step in enumerate(PATH):
+            kind, _, k = step.strip("[]").partition(":")
+            rows.append((len(rows), datetime(2024, 1, 1) + timedelta(hours=user, minutes=i), user, kind, f'{{"k": {k or 0}}}', 0.0))
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, props string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def test_ngrams_of_every_length(spark, long_routine):
+    run = lambda name: queries.queries()[name](spark, long_routine).collect()
+    count = Counter(" -> ".join(PATH[i : i + n]) for n in range(3, 8) for i in range(8 - n))
+    assert {r["sig"]: r["cnt"] for r in run("frequent_ngrams")} == {g: 3 * c for g, c in count.items()}
+    assert [(r["sig"], r["n"], r["cnt"]) for r in run("maximal_ngrams")] == [(" -> ".join(PATH), 7, 3)]
+    assert [(r["covered"], r["total"]) for r in run("ngram_coverage")] == [(21, 21)]
+    assert {r["part"]: (r["covered"], r["total"]) for r in run("temporal_holdout")} == {"train": (21, 21), "test": (0, 0)}
