@@ -158,7 +158,7 @@ def _entropy(spark, d):
 
 
 def _null(spark, d):
-    return mining.shuffled_null(_sessions(spark, d), rounds=2, least=3, longest=4)
+    return mining.shuffled_null(_sessions(spark, d), rounds=20, least=3)
 
 
 def _stream(spark, d):

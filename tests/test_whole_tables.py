@@ -8,6 +8,7 @@ import pytest
 from test_queries import SF, needs_data, plain
 
 from chronolith import queries
+from chronolith.operators import mining
 
 #: Row filters of the registered SQL that the queries do not have.
 FILTERS = {
@@ -60,3 +61,10 @@ def test_ngrams_of_every_length(spark, long_routine):
     assert [(r["sig"], r["n"], r["cnt"]) for r in run("maximal_ngrams")] == [(" -> ".join(PATH), 7, 3)]
     assert [(r["covered"], r["total"]) for r in run("ngram_coverage")] == [(21, 21)]
     assert {r["part"]: (r["covered"], r["total"]) for r in run("temporal_holdout")} == {"train": (21, 21), "test": (0, 0)}
+
+
+def test_null_takes_twenty_rounds_of_every_length(spark, long_routine, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(mining, "shuffled_null", lambda sessions, **args: seen.update(args))
+    queries.queries()["shuffle_null"](spark, long_routine)
+    assert seen == {"rounds": 20, "least": 3}
