@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, worker_cache
+from .common import table, tool
 
 #: Entries of the cache of pre-tokens in a worker; it is emptied when full.
 CACHE = 200_000
@@ -123,11 +123,8 @@ class Codec:
 
 
 def codec(data: bytes, pattern: str) -> Codec:
-    """One Codec at a time in a worker, kept while the worker lives."""
-    held, key = worker_cache(), (hashlib.sha256(data).digest(), pattern)
-    if held.get("codec", (None,))[0] != key:
-        held["codec"] = key, Codec(data, pattern)
-    return held["codec"][1]
+    """A Codec, kept while the worker has no other tool."""
+    return tool("codec", (hashlib.sha256(data).digest(), pattern), lambda: Codec(data, pattern))
 
 
 def rank_file(path: str) -> bytes:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,21 +26,33 @@ _OWN_SCRATCH: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (one machine, tests)."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset, a temporary folder in local mode (one machine, as
+    in tests); on a cluster a ValueError, since executors could not read such a folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return path or _OWN_SCRATCH.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="chronolith-"))
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _OWN_SCRATCH.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="chronolith-"))
+
+
+_SCRATCH: list[list[DataFrame]] = []
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet under scratch_dir() and read it back."""
+    """Cut the lineage: write df as Parquet under scratch_dir() and read it back. Within with_scratch() the table is
+    deleted at the end; else it stays for as long as its reader may need it, and discard() deletes it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/chronolith-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
+    return out
 
 
 def discard(df: DataFrame) -> None:
-    """Delete what materialize() wrote for df, through the file system of its path."""
+    """Delete what materialize() wrote for df (a table may be gone already), through the file system of its path."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
@@ -43,6 +60,17 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextlib.contextmanager
+def with_scratch():
+    """Deletes the tables that were materialised within it; what was made of them must be written by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for df in _SCRATCH.pop():
+            discard(df)
+
+
 def fold(column):
     """crc32(text of the id) mod 4; remainder 2 is held out."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 4, F.lit(-1))
@@ -56,11 +84,54 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker."""
+def release() -> None:
+    """Give memory that is no longer used back to the system, so that a worker's peak isn't kept between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tool(name: str, key, build: Callable):
+    """What build() gives, kept in the Python worker until a tool of another name or key is asked for: one at a time."""
     import sys
 
-    return sys.__dict__.setdefault("_chronolith_worker_cache", {})
+    held = sys.__dict__.setdefault("_chronolith_tool", {})
+    if held.get("key") != (name, key):
+        held.clear()
+        release()
+        held.update(value=build(), key=(name, key))
+    return held["value"]
+
+
+def text_udf(name: str, key, build: Callable, run: Callable, kind: str):
+    """An Arrow UDF: run(tool, texts) gives an Arrow array of kind for each Arrow array of texts. Only the text goes to
+    Python and only the result comes back. It counts as nondeterministic so that no plan evaluates it twice."""
+
+    @F.arrow_udf(kind)
+    def of_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = tool(name, key, build)
+        for batch in batches:
+            yield run(own, batch)
+        release()
+
+    return of_text.asNondeterministic()
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, made longer until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def structs(kind: pa.DataType, rows: list) -> pa.Array:
+    """An Arrow array of structs of kind from tuples."""
+    columns = list(zip(*rows)) if rows else [()] * kind.num_fields
+    return pa.StructArray.from_arrays([pa.array(c, kind.field(i).type) for i, c in enumerate(columns)], fields=list(kind))
 
 
 class Shared:

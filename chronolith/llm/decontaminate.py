@@ -1,13 +1,12 @@
 """Benchmark decontamination: passages of documents that are copies, exact or near, of a benchmark's items.
 
-A SimHash fingerprint is taken of each item, over its weighted word shingles, and of windows of the item's size in
-the documents. A multi-index of Hamming blocks finds the items of that size within RADIUS bits: two fingerprints that
-differ in no more bits differ in at most BLOCK_BITS_OFF in one of the BLOCKS at least, and every value of a block is
-listed with the items within that distance, so none is missed. Candidates are verified by the exact weighted Jaccard
-similarity of their shingles (weight: how often a shingle occurs). A window that shares no shingle with an item has
-similarity 0, so only windows over shared shingles are fingerprinted.
-
-The benchmark is a query set: it goes to the executors in blocks of items, whose size is bounded by ITEMS_AT_ONCE.
+A SimHash fingerprint is taken of each item, over its weighted word shingles, and of every window of an item's size
+in every document. A multi-index of Hamming blocks finds the items of that size within RADIUS bits: two fingerprints
+that differ in no more bits differ in at most BLOCK_BITS_OFF in one of the BLOCKS at least, and every value of a
+block is listed with the items within that distance, so none is missed. Candidates are verified by the exact weighted
+Jaccard similarity of their shingles (weight: how often a shingle occurs).
+
+The benchmark is a query set: it goes to the executors in blocks of items, whose size is bounded.
 """
 
 from __future__ import annotations
@@ -15,22 +14,29 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, table, worker_cache
-from .minhash_dedup import mix
+from .common import Shared, fresh, table, text_udf
+from .minhash_dedup import Known, mix
 
 SHINGLE, SIMILAR = 5, 0.8
-BLOCKS, BLOCK_BITS_OFF = 8, 2
-#: Differing bits up to which every fingerprint is found.
+#: Blocks of 16 bits of a fingerprint, and bits that a block of two fingerprints may differ in. A random fingerprint is
+#: a candidate with a probability of 4.2 %.
+BLOCKS, BLOCK_BITS_OFF = 4, 3
+#: Differing bits up to which every fingerprint is found. A window with a similarity of 0.8 differs in about 10 bits.
 RADIUS = BLOCKS * (BLOCK_BITS_OFF + 1) - 1
-ITEMS_AT_ONCE = 20_000
-CACHE = 300_000
+#: Items, and characters of items, that are sent to the executors at once.
+ITEMS_AT_ONCE, CHARS_AT_ONCE = 20_000, 8_000_000
+#: Words of documents that are searched at once (a longer text is searched whole), and windows at once.
+WORDS_AT_ONCE, WINDOWS_AT_ONCE = 200_000, 16_384
 _STEP = np.random.default_rng(77).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_NEAR = [[v for v in range(256) if (v ^ w).bit_count() <= BLOCK_BITS_OFF] for w in range(256)]
+_OFF = np.array([sum(1 << b for b in bits) for n in range(BLOCK_BITS_OFF + 1) for bits in combinations(range(16), n)], np.uint16)
+_BIT = np.array([1 << k for k in range(BLOCKS)], np.uint8)
 _MARKS = re.compile(r"[\W_]+")
 
 
@@ -40,37 +46,41 @@ class Words:
     def __init__(self):
         import xxhash
 
-        self.hash, self.known = xxhash.xxh3_64_intdigest, {}
+        def hashed(word: str) -> int:
+            plain = _MARKS.sub("", word.lower())
+            return xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) | 1 if plain else 0
+
+        self.known = Known(hashed)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        known, own = self.known, (text or "").split()
-        if len(known) > CACHE:
-            known.clear()
-        for w in own:
-            if w not in known:
-                plain = _MARKS.sub("", w.lower())
-                known[w] = self.hash(plain.encode("utf-8", "surrogatepass")) | 1 if plain else 0
-        h = np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
+        own = (text or "").split()
+        h = np.fromiter(self.known.of(own), np.uint64, len(own))
         return h[h != 0]
 
 
-def shingles(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of each size consecutive words, in order."""
-    n = len(words) - size + 1
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of each SHINGLE consecutive words, in order."""
+    n = len(words) - SHINGLE + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.full(n, np.uint64(size))
-    for i in range(size):
+    h = np.full(n, np.uint64(SHINGLE))
+    for i in range(SHINGLE):
         h += mix(words[i : i + n] + _STEP[i]) * _STEP[i]
     return mix(h)
 
 
-def fingerprints(hashes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
-    """SimHash of the width shingles from each of starts on: each bit by the majority of the shingles, ties 1."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
-    total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-    ones = total[starts + width] - total[starts]
-    return np.packbits(2 * ones >= width, axis=1).view(np.uint64).ravel()
+def sums(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Running sums of each of the 64 bits of hashes, with a row of zeros before; sums of width rows fit the type."""
+    kind = np.uint8 if width < 1 << 8 else np.uint16 if width < 1 << 16 else np.uint32
+    total = np.zeros((len(hashes) + 1, 64), kind)
+    np.cumsum(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=kind, out=total[1:])
+    return total
+
+
+def fingerprints(total: np.ndarray, width: int) -> np.ndarray:
+    """SimHash of each width consecutive rows of sums: each bit by the majority of the shingles, ties 1."""
+    ones = total[width:] - total[:-width]
+    return np.packbits(ones >= (width + 1) // 2, axis=1).view(np.uint64).ravel()
 
 
 def similarity(a: np.ndarray, b: Counter) -> float:
@@ -79,133 +89,155 @@ def similarity(a: np.ndarray, b: Counter) -> float:
     return low / (len(a) + sum(b.values()) - low)
 
 
+class Group:
+    """The items of one size: their shingles, fingerprints, and the multi-index of the fingerprints' blocks."""
+
+    def __init__(self):
+        self.items, self.bags, self.prints = [], [], []
+
+    def close(self) -> Group:
+        self.prints = np.array(self.prints, np.uint64)
+        blocks = self.prints.view(np.uint16).reshape(-1, BLOCKS)
+        self.listed = np.zeros(1 << 16, np.uint8)  # bit k: block k of some item is that near
+        starts, items = [np.zeros(1, np.int64)], []
+        for k in range(BLOCKS):
+            near = (blocks[:, k, None] ^ _OFF).ravel()
+            self.listed[near] |= 1 << k
+            order = np.argsort(near, kind="stable")
+            starts.append(np.cumsum(np.bincount(near, minlength=1 << 16)) + starts[-1][-1])
+            items.append(order // len(_OFF))
+        self.starts, self.listed_items = np.concatenate(starts).astype(np.int32), np.concatenate(items).astype(np.int32)
+        return self
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in prints, item number) of the pairs within RADIUS, in order."""
+        blocks = prints.view(np.uint16).astype(np.int64)
+        at = np.flatnonzero(self.listed.take(blocks).reshape(-1, BLOCKS) & _BIT)
+        slot = blocks[at] + ((at % BLOCKS) << 16)
+        first, end = self.starts[slot], self.starts[slot + 1]
+        own, found = prints[at // BLOCKS], []
+        while len(at):
+            item = self.listed_items[first]
+            good = np.flatnonzero(np.bitwise_count(own ^ self.prints[item]) <= RADIUS)
+            if len(good):
+                found.append((at[good] // BLOCKS) * len(self.items) + item[good])
+            first = first + 1
+            more = np.flatnonzero(first < end)
+            at, first, end, own = at[more], first[more], end[more], own[more]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.divmod(np.unique(np.concatenate(found)), len(self.items))
+
+
 class Index:
-    """A block of items: shingles, fingerprints by size, and the multi-index of their blocks."""
+    """A block of items, in groups by their number of shingles."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        words = Words()
-        self.groups: dict = {}  # (shingle size, number of shingles) -> items
-        posting: dict = {}
+        self.words = Words()
+        groups: dict[int, Group] = {}
         for item, text in items:
-            w = words(text)
-            size = min(SHINGLE, len(w))
-            if not size:
-                continue
-            h = shingles(w, size)
-            group = self.groups.setdefault((size, len(h)), {"items": [], "bags": [], "prints": []})
-            group["items"].append(item)
-            group["bags"].append(Counter(h.tolist()))
-            group["prints"].append(fingerprints(h, np.zeros(1, np.int64), len(h))[0])
-            for s in set(h.tolist()):
-                posting.setdefault(size, {}).setdefault(s, set()).add((size, len(h)))
-        self.posting = posting
-        self.sorted = {size: np.array(sorted(p), np.uint64) for size, p in posting.items()}
-        for group in self.groups.values():
-            table = [[[] for _ in range(256)] for _ in range(BLOCKS)]
-            for k, p in enumerate(group["prints"]):
-                for block, value in enumerate(int(p).to_bytes(8, "little")):
-                    for v in _NEAR[value]:
-                        table[block][v].append(k)
-            group["table"] = table
-
-    def near(self, group: dict, print_: int) -> list[int]:
-        """Items of the group within RADIUS of print_."""
-        table, prints = group["table"], group["prints"]
-        some = {k for block, value in enumerate(print_.to_bytes(8, "little")) for k in table[block][value]}
-        return [k for k in sorted(some) if (int(prints[k]) ^ print_).bit_count() <= RADIUS]
-
-    def search(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
-        """Of each item that occurs, its best window: (similarity, first word, number of words)."""
-        found: dict = {}
-        for size, known in self.sorted.items():
-            h = shingles(words, size)
+            h = shingles(self.words(text))
             if not len(h):
                 continue
-            at = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
-            if not len(at):
-                continue
-            hit = np.zeros(len(h) + 1, np.int64)
-            hit[at + 1] = 1
-            hit = np.cumsum(hit)
-            for key in {g for p in at for g in self.posting[size][int(h[p])]}:
-                group, width = self.groups[key], min(key[1], len(h))
-                starts = np.arange(len(h) - width + 1)
-                # similar windows have SIMILAR of the shingles of both in common
-                starts = starts[hit[starts + width] - hit[starts] >= SIMILAR * (width + key[1]) / (1 + SIMILAR) - 1e-9]
-                for i in range(0, len(starts), 4096):
-                    part = starts[i : i + 4096]
-                    base, top = int(part[0]), int(part[-1]) + width
-                    for s, p in zip(part.tolist(), fingerprints(h[base:top], part - base, width).tolist()):
-                        for k in self.near(group, p):
-                            sim = similarity(h[s : s + width], group["bags"][k])
-                            item = group["items"][k]
-                            if sim >= SIMILAR - 1e-12 and (item not in found or (-sim, s) < (-found[item][0], found[item][1])):
-                                found[item] = sim, s, width + size - 1
-        return found
-
-
-def blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items with an id and a text, in blocks; rows that share an id are parts of one answer."""
+            group = groups.setdefault(len(h), Group())
+            group.items.append(item)
+            group.bags.append(Counter(h.tolist()))
+            group.prints.append(fingerprints(sums(h, len(h)), len(h))[0])
+        self.groups = {width: groups.pop(width).close() for width in sorted(groups)}
+
+    def search(self, texts: list[str | None]) -> list[dict[int, tuple[float, int, int]]]:
+        """Of each text, the best window of each item that occurs: (similarity, first word, number of words)."""
+        out: list = [{} for _ in texts]
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            words = self.words(text)
+            if len(words) >= SHINGLE and self.groups:
+                held.append((i, words))
+                size += len(words)
+            if held and (size >= WORDS_AT_ONCE or i == len(texts) - 1):
+                self._search(held, out)
+                held, size = [], 0
+        if held:
+            self._search(held, out)
+        return out
+
+    def _search(self, held: list, out: list) -> None:
+        words = np.concatenate([w for _, w in held])
+        owner = np.repeat(np.arange(len(held)), [len(w) for _, w in held])
+        begin = np.cumsum([0, *(len(w) for _, w in held)])
+        h = shingles(words)
+        most = max(self.groups)
+        for base in range(0, len(h), WINDOWS_AT_ONCE):
+            part = h[base : base + WINDOWS_AT_ONCE + most - 1]
+            total = sums(part, most)
+            for width, group in self.groups.items():
+                n = min(WINDOWS_AT_ONCE, len(part) - width + 1)
+                if n <= 0:
+                    break  # groups are sorted by width
+                place, item = group.near(fingerprints(total[: n + width], width))
+                place += base
+                same = owner[place] == owner[place + width + SHINGLE - 2]  # windows end in the document that they begin in
+                for p, k in zip(place[same].tolist(), item[same].tolist()):
+                    sim = similarity(h[p : p + width], group.bags[k])
+                    if sim >= SIMILAR - 1e-12:
+                        doc = int(owner[p])
+                        found, first = out[held[doc][0]], p - int(begin[doc])
+                        best = found.get(group.items[k])
+                        if best is None or (-sim, first) < (-best[0], best[1]):
+                            found[group.items[k]] = sim, first, width + SHINGLE - 1
+
+
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items with an id and a text, a bounded block of them at a time; rows that share an id are parts of one answer."""
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").toLocalIterator()
-    out: list = [[]]
+    block, chars = [], 0
     for r in rows:
-        if len(out[-1]) == ITEMS_AT_ONCE:
-            out.append([])
-        out[-1].append((r["item_id"], r["text"]))
-    return [b for b in out if b]
+        block.append((r["item_id"], r["text"]))
+        chars += len(r["text"])
+        if len(block) >= ITEMS_AT_ONCE or chars >= CHARS_AT_ONCE:
+            yield block
+            block, chars = [], 0
+    if block:
+        yield block
+
+
+HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
+
 
+def hits_of(docs: DataFrame, block: list):
+    """An Arrow UDF of the hits of a text among the items of block, by item."""
+    shared = Shared(docs.sparkSession, block)
+    names = HIT.value_type.names
 
-def index_of(shared) -> Index:
-    held = worker_cache()
-    if held.get("benchmark", (None,))[0] != shared.id:
-        held["benchmark"] = shared.id, (Index(shared.value), Words())
-    return held["benchmark"][1]
+    def run(index, texts):
+        found = index.search(texts.to_pylist())
+        return pa.array([[dict(zip(names, (item, *best))) for item, best in sorted(x.items())] for x in found], HIT)
+
+    return text_udf("benchmark", shared.id, lambda: Index(shared.value), run, "array<struct<item_id: bigint, similarity: double, first_word: int, n_words: int>>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, similarity, first_word, n_words: the best window of every item that a row of docs holds.
+    """doc_id, item_id, similarity, first_word, n_words: the best window of every item that a row of docs holds (of
+    equally similar windows the first).
 
-    Words are compared in lower case and without marks; an item of fewer than SHINGLE words is one shingle, an item or
-    text that is null or without words matches nothing, an empty benchmark gives no row. Repeated rows give repeated
-    rows, a null doc_id is kept, and other columns are not read.
+    Words are compared in lower case and without marks. An item or text of fewer than SHINGLE words, or null, matches
+    nothing (so short an item is no passage), an empty benchmark gives no row. Texts are searched whole. Repeated rows
+    give repeated rows, a null doc_id is kept, and other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    schema = "doc_id long, item_id long, similarity double, first_word int, n_words int"
-    out = docs.sparkSession.createDataFrame([], schema)
+    out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, first_word int, n_words int")
     for block in blocks(benchmark):
-        shared = Shared(docs.sparkSession, block)
-
-        def run(batches: Iterator, shared=shared) -> Iterator:
-            import pyarrow as pa
-
-            index, words = index_of(shared)
-            for batch in batches:
-                got = []
-                for doc, text in zip(batch.column("doc_id"), batch.column("text")):
-                    found = index.search(words(text.as_py()))
-                    got += [(doc.as_py(), item, *best) for item, best in sorted(found.items())]
-                cols = list(zip(*got)) if got else [()] * 5
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "similarity", "first_word", "n_words"])
-
-        out = out.union(rows.mapInArrow(run, schema))
+        out = out.union(rows.select("doc_id", F.explode(hits_of(docs, block)("text")).alias("hit")).select("doc_id", "hit.*"))
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item of benchmark, with all their columns; each block of items drops its own."""
-    at = docs.columns.index("text")
+    """The rows of docs that hold no item of benchmark (as contaminated() finds them), with all their columns; each
+    block of items drops its own. Rows that repeat are judged alike, and a null text stays."""
+    columns = docs.columns
     for block in blocks(benchmark):
-        shared = Shared(docs.sparkSession, block)
-
-        def run(batches: Iterator, shared=shared) -> Iterator:
-            import pyarrow as pa
-
-            index, words = index_of(shared)
-            for batch in batches:
-                yield batch.filter(pa.array([not index.search(words(t.as_py())) for t in batch.column(at)], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
+        found = fresh(docs, "found")
+        docs = docs.withColumn(found, F.size(hits_of(docs, block)("text"))).where(F.col(found) == 0).select(*[F.col(f"`{c}`") for c in columns])
     return docs
 
 

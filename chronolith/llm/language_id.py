@@ -9,21 +9,21 @@ by forward-backward; a document's language is the one with the largest mean marg
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import Shared, held_out, table, worker_cache
+from .common import Shared, fresh, held_out, structs, table, text_udf
 
 #: Training documents of a language (expected number, all if it has fewer), and words taken of each.
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 240
 FEATURES = 1 << 16
-#: Words that a worker keeps emissions of, and words labelled at once.
-CACHE, BLOCK = 400_000, 1_000_000
+#: Words that a worker keeps emissions of, letters of the longest of them, and words labelled at once (a longer text
+#: is labelled whole, by itself). None of these changes a result.
+CACHE, CACHED_LETTERS, BLOCK = 200_000, 64, 250_000
 WORD = r"\p{L}[\p{L}\p{M}]*"
 
 
@@ -31,7 +31,7 @@ def word_features(word: str) -> list[int]:
     b = f"^{word}$"
     n = len(word)
     names = [f"w{word}", *(f"p{word[:k]}" for k in (1, 2, 3) if k <= n), *(f"s{word[-k:]}" for k in (1, 2, 3) if k <= n)]
-    names += {b[i : i + k] for k in (2, 3) for i in range(len(b) - k + 1)} if n <= 64 else {b[i : i + 3] for i in range(62)}
+    names += {b[i : i + k] for k in (2, 3) for i in range(len(b) - k + 1)}
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % FEATURES for x in sorted(names)]
 
 
@@ -68,11 +68,30 @@ class Model:
         self.langs, self.weights, self.trans, self.first = list(langs), weights.astype(np.float32), trans, first
 
 
-def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Model:
-    """Learn from text and non-null lang of rows that are not held out, of each language about sample_docs
-    rows (a fixed fraction by the hash of doc_id, the same at every run), at most sample_words words of each."""
-    import regex
+def some_words(limit: int):
+    """An Arrow UDF: at most limit consecutive words of each text, from a place that the text itself decides."""
+
+    def build():
+        import regex
+
+        return regex.compile(WORD).findall
+
+    def run(find, texts):
+        out = []
+        for text in texts:
+            text = (text.as_py() or "").lower()
+            words = find(text)
+            at = zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, len(words) - limit + 1)
+            out.append(words[at : at + limit])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return text_udf("language words", limit, build, run, "array<string>")
 
+
+def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Model:
+    """Learn from text and non-null lang of rows that are not held out: of each language about sample_docs rows (a
+    fixed fraction by the hash of doc_id and text, the same at every run), sample_words words of each. At most twice
+    sample_docs rows for each language reach the driver, however many rows repeat."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(counts)
@@ -81,14 +100,9 @@ def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_words: int =
     share = F.lit(0.0)
     for lang in langs:
         share = F.when(F.col("lang") == lang, F.lit(sample_docs / counts[lang])).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)).collect()
-    sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["lang"], r["text"]))
-    find = regex.compile(WORD).findall
-    texts = []
-    for r in sample:
-        words = find(r["text"].lower())
-        at = zlib.crc32(str(r["doc_id"]).encode()) % max(1, len(words) - sample_words + 1)
-        texts.append((langs.index(r["lang"]), words[at : at + sample_words]))
+    chosen = rows.withColumn("u", F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(1 << 30))).where(F.col("u") < share * (1 << 30))
+    sample = chosen.select("u", "lang", some_words(sample_words)("text").alias("words")).orderBy("u", "lang", "words").limit(2 * sample_docs * len(langs)).collect()
+    texts = [(langs.index(r["lang"]), r["words"]) for r in sample]
     words, labels, lengths = splice(texts)
     if not words:
         return Model(langs, np.zeros((FEATURES, len(langs))), np.zeros((len(langs),) * 2), np.zeros(len(langs)))
@@ -108,11 +122,15 @@ class Labeller:
 
     def clear(self):
         self.known: dict[str, int] = {}
+        self.passing: list[str] = []
         self.emission = np.zeros((0, len(self.model.langs)), np.float32)
 
     def emissions(self, words: list[str]) -> np.ndarray:
+        for w in self.passing:
+            del self.known[w]
+        self.emission, self.passing = self.emission[: len(self.known)], []
         known = self.known
-        new = sorted({w for w in words if w not in known})
+        new = sorted({w for w in words if w not in known}, key=lambda w: (len(w) > CACHED_LETTERS, w))  # those not kept come last
         if new:
             if len(known) + len(new) > CACHE and known:
                 self.clear()
@@ -125,6 +143,7 @@ class Labeller:
                 ends = np.cumsum([len(f) for f in features])
                 parts.append(np.add.reduceat(self.model.weights[flat], np.concatenate([[0], ends[:-1]]), axis=0))
             known.update((w, base + i) for i, w in enumerate(new))
+            self.passing = [w for w in new if len(w) > CACHED_LETTERS]
             self.emission = np.concatenate([self.emission, *parts])
         return self.emission[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
@@ -138,12 +157,13 @@ class Labeller:
         if not self.model.langs:
             return out
         held, size = [], 0
-        for i, text in enumerate(texts):
-            words = self.find(text.lower()) if text else []
+        # texts of like lengths are labelled together: a block takes as many steps as its longest has words
+        for i in sorted((i for i, text in enumerate(texts) if text), key=lambda i: -len(texts[i])):
+            words = self.find(texts[i].lower())
             if words:
                 held.append((i, words))
                 size += len(words)
-            if held and (size >= BLOCK or i == len(texts) - 1):
+            if size >= BLOCK:
                 self._block(held, out)
                 held, size = [], 0
         if held:
@@ -165,36 +185,21 @@ class Labeller:
             out[i] = self.model.langs[top[k]], float(min(1.0, mean[k, top[k]])), int(runs[k])
 
 
-def labeller(shared) -> Labeller:
-    held = worker_cache()
-    if held.get("language", (None,))[0] != shared.id:
-        held["language"] = shared.id, Labeller(shared.value)
-    return held["language"][1]
+FOUND = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("n_runs", pa.int32())])
 
 
 def identify(docs: DataFrame, model: Model, *, keep: list[str] | None = None) -> DataFrame:
     """keep (columns of docs; doc_id without it), lang_pred, score and n_runs for every row of docs.
 
-    A text that is null or has no letter (or a model without a language) gives und, 0.0 and 0. Repeated rows give
-    repeated rows. Only text decides.
+    A text that is null or has no letter (or a model without a language) gives und, 0.0 and 0; of languages with equal
+    means the first by name counts. Repeated rows give repeated rows. Only text decides, all of it. A column of keep
+    that is named as a result gives way to it.
     """
-    keep = keep or ["doc_id"]
+    keep = [F.col(f"`{c}`") for c in keep or ["doc_id"] if c.lower() not in ("lang_pred", "score", "n_runs")]
     shared = Shared(docs.sparkSession, model)
-    own = docs.select(*[F.col(c) for c in keep], F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[:-1]) + ", lang_pred string, score double, n_runs int"
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        tool = labeller(shared)
-        for batch in batches:
-            found = tool.predict(batch.column("_text").to_pylist())
-            lang, score, runs = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(runs, pa.int32())], [*batch.schema.names[:-1], "lang_pred", "score", "n_runs"]
-            )
-
-    return own.mapInArrow(run, schema)
+    label = text_udf("language", shared.id, lambda: Labeller(shared.value), lambda own, texts: structs(FOUND, own.predict(texts.to_pylist())), "lang_pred string, score double, n_runs int")
+    found = fresh(docs, "found")
+    return docs.select(*keep, label("text").alias(found)).select(*keep, f"{found}.*")
 
 
 def op3_language_id(spark, sf_dir):

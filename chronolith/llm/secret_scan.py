@@ -1,8 +1,9 @@
 """Secret scans: exact base patterns, and a linear-chain conditional random field that adds what they miss.
 
-The field tags tokens as begin (B), inside (I) or outside (O) of a secret, from the token's shape, the words
-around it and features of the file, and is decoded by Viterbi. A plain token (letters of one case pattern, or
-marks only) is outside by definition, so it cuts the chain: only runs of other tokens are decoded, exactly.
+The field tags every token of a text as begin (B), inside (I) or outside (O) of a secret, from the token's shape, the
+words around it and features of the file, and is decoded by Viterbi. What a token and its neighbours add to the scores
+is kept for each distinct token. A token whose score for O is so far ahead that no neighbour can make B or I the
+better choice is outside on the best path, so the path is found exactly by decoding what lies between such tokens.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import Shared, table, worker_cache
+from .common import Shared, fresh, structs, table, text_udf
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -29,12 +31,16 @@ KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 _HEX_MAP = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 
 TOKEN = re.compile(r"[^\W_][\w+/.~-]*(?:={1,2}(?!\w))?|[^\w\s]|_")
-PLAIN = re.compile(r"[\W_]*(?:[^\W\d_]?[^\W\d_A-Z]*|[A-Z]+)(?:['’/.-](?:[^\W\d_]?[^\W\d_A-Z]*|[A-Z]+))*[\W_]*")
-PLAIN_CHARS = 40
 FEATURES = 1 << 15
-CACHE = 400_000
-#: Documents that the field is trained on at most (about half with base spans), and made-up secrets among them.
-SAMPLE_DOCS, SYNTHETIC = 1_500, 1_200
+#: Distinct tokens that a worker keeps the scores of, characters of the longest of them, and characters of text that
+#: are tagged at once (a longer text is tagged whole, by itself). None of these changes a result.
+CACHE, CACHED_CHARS, CHARS_AT_ONCE = 200_000, 64, 1_000_000
+#: Documents that the field is trained on (about so many, half of them with base spans), words taken of each, and
+#: made-up secrets and other tokens among them.
+SAMPLE_DOCS, SAMPLE_WORDS, SYNTHETIC = 1_000, 120, 3_000
+#: Offsets of the neighbours whose words are features.
+NEAR = (-3, -2, -1, 1)
+_PAIR = np.array([0x9E3779B1, 0x85EBCA77], np.int64)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -50,56 +56,69 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(out)
 
 
-def is_plain(token: str) -> bool:
-    return len(token) <= PLAIN_CHARS and PLAIN.fullmatch(token) is not None
-
-
 def shape(token: str) -> str:
-    kinds = "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token[:64])
-    return re.sub(r"(.)\1+", r"\1", kinds)[:12]
+    """The kinds of the characters of the whole token, runs shortened to one."""
+    kinds = "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token)
+    return re.sub(r"(.)\1+", r"\1", kinds)
 
 
 def token_features(token: str) -> list[str]:
-    n, seen = len(token), set(token)
+    n, seen, form = len(token), set(token), shape(token)
     digits = sum(c.isdigit() for c in token)
-    kinds = "".join(k for k, f in (("a", str.islower), ("A", str.isupper), ("0", str.isdigit)) if any(map(f, token[:200])))
+    vowels = sum(c in "aeiouyAEIOUY" for c in token)
+    size = min(n // 4, 12)
     return [
-        f"shape {shape(token)}",
-        f"kinds {kinds} {min(n // 8, 6)}",
+        f"shape {form if len(form) <= 12 else ''.join(sorted(set(form)))}",
+        f"changes {min(len(form) // 2, 12)} {size}",
+        f"kinds {''.join(sorted(set(form)))} {size}",
         f"digits {4 * digits // n}",
-        f"distinct {min(len(seen) // 6, 5)} {min(n // 8, 6)}",
-        f"hex {seen <= set('0123456789abcdef')} {min(n // 8, 6)}",
+        f"vowels {8 * vowels // n} {size}",
+        f"distinct {min(len(seen) // 4, 8)} {size}",
+        f"hex {seen <= set('0123456789abcdef')} {size}",
         f"begins {token[:4].lower()}",
+        f"ends {token[-3:].lower()} {size}",
         f"marks {''.join(sorted(seen & set('+/.=~_-')))} {min(n // 16, 3)}",
+        f"word {token.lower()}",
+        "all",
     ]
 
 
+def number(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % FEATURES
+
+
 def document_features(text: str) -> list[str]:
     low = text.lower()
     return [f"file {k}" for k in ("key", "secret", "token", "passw", "bearer", "auth") if k in low] + [f"file = {min(text.count('='), 4)}"]
 
 
-def candidates(text: str) -> tuple[list[tuple[int, int]], list[list[int]], list[int]]:
-    """Of the tokens that are not plain: (start, end), feature numbers, and the lengths of runs of neighbours."""
-    tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
-    spans, features, runs, last = [], [], [], -2
-    of_file = None
-    for i, (a, b) in enumerate(tokens):
-        token = text[a:b]
-        if is_plain(token):
-            continue
-        if of_file is None:
-            of_file = document_features(text)
-        near = [text[slice(*tokens[j])].lower()[:24] if 0 <= j < len(tokens) else "" for j in (i - 3, i - 2, i - 1, i + 1)]
-        names = [*token_features(token), f"-3 {near[0]}", f"-2 {near[1]}", f"-1 {near[2]}", f"+1 {near[3]}", f"-2-1 {near[1]} {near[2]}", *of_file, "all"]
-        features.append([zlib.crc32(x.encode("utf-8", "surrogatepass")) % FEATURES for x in dict.fromkeys(names)])
-        spans.append((a, b))
-        if last == i - 1:
-            runs[-1] += 1
-        else:
-            runs.append(1)
-        last = i
-    return spans, features, runs
+def own_numbers(token: str) -> list[int]:
+    return [number(x) for x in dict.fromkeys(token_features(token))]
+
+
+def near_numbers(token: str) -> list[int]:
+    """The feature of being the word at each of NEAR."""
+    low = token.lower()
+    return [number(f"{k:+} {low}") for k in NEAR]
+
+
+def pair_numbers(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The feature of two words in a row, from the numbers of the words."""
+    return ((before * _PAIR[0] + last * _PAIR[1]) >> 7) % FEATURES
+
+
+def features_of(tokens: list[str], of_file: list[str]) -> list[np.ndarray]:
+    """Feature numbers of each token of a text."""
+    file_numbers = [number(x) for x in of_file]
+    word = np.array([zlib.crc32(t.lower().encode("utf-8", "surrogatepass")) for t in ["", "", *tokens]], np.int64)
+    pairs = pair_numbers(word[:-2], word[1:-1])
+    near = [near_numbers(t) for t in tokens]
+    none = near_numbers("")
+    out = []
+    for i, token in enumerate(tokens):
+        around = [(near[i + k] if 0 <= i + k < len(tokens) else none)[j] for j, k in enumerate(NEAR)]
+        out.append(np.array([*own_numbers(token), *around, int(pairs[i]), *file_numbers]))
+    return out
 
 
 def tags(spans: list[tuple[int, int]], secrets: list[tuple[int, int]]) -> list[int]:
@@ -124,6 +143,11 @@ def made_up(rng: random.Random) -> tuple[str, bool]:
         lambda: "eyJ" + pick(mixed, 30) + "." + pick(mixed, 40) + "." + pick(mixed + "_-", 40),
         lambda: pick(mixed, rng.randrange(20, 48)),
         lambda: pick("0123456789abcdef", 32),
+        lambda: pick(word, rng.randrange(14, 24)),
+        lambda: "-".join(pick(word, 4) for _ in range(rng.randrange(3, 6))),
+        lambda: pick(string.ascii_uppercase + "234567", 8 * rng.randrange(2, 5)),
+        lambda: pick(string.ascii_uppercase, 24),
+        lambda: pick(string.digits, rng.randrange(24, 40)),
     ]
     other = [
         lambda: pick(word, 6) + "." + pick(string.digits, 2),
@@ -142,24 +166,47 @@ def made_up(rng: random.Random) -> tuple[str, bool]:
 
 def training_rows(texts: list[str], seed: int = 13):
     """Feature numbers, tags and run lengths: the texts tagged by their base spans, and pieces of them with made-up
-    tokens put in after an introduction (key words before secrets and others alike)."""
+    tokens put in after an introduction (key words before secrets and others alike; pass phrases are words of the texts)."""
     rng = random.Random(seed)
     features, labels, runs = [], [], []
 
     def add(text, secrets):
-        spans, f, r = candidates(text)
-        features.extend(np.array(x) for x in f)
-        labels.extend(tags(spans, secrets))
-        runs.extend(r)
+        spans = [m.span() for m in TOKEN.finditer(text)]
+        if spans:
+            features.extend(features_of([text[a:b] for a, b in spans], document_features(text)))
+            labels.extend(tags(spans, secrets))
+            runs.append(len(spans))
 
     for text in texts:
         add(text, [(s[3], s[2]) for s in base_spans(text)])
-    for _ in range(SYNTHETIC if texts else 0):
-        words = rng.choice(texts).split()
+    split = [t.split() for t in texts if t.strip()]
+    keys = ["key: ", "key = \"", "Authorization: Bearer ", "auth=", "pwd: ", "credentials ", "login with ", "pass: "]
+    plain = ["call ", "on ", "id ", "see ", "id: ", "n = ", "about ", "with "]
+    for i in range(SYNTHETIC if split else 0):
+        words = rng.choice(split)
         at = rng.randrange(max(1, len(words) - 12))
-        piece = " ".join(w for w in words[at : at + 12] if is_plain(w))
+        piece = " ".join(words[at : at + 12])
+        if base_spans(piece):
+            continue
         token, good = made_up(rng)
-        intro = rng.choice(["key: ", "key = \"", "Authorization: Bearer ", "auth=", "pwd: ", "credentials ", "", ""] if good else ["call ", "on ", "id ", "see ", "id: ", "n = ", "", ""])
+        if i % 12 == 0:  # a pass phrase, or as many words after another introduction
+            good = i % 24 == 0
+            token = " ".join(w for w in rng.choice(split)[:200] if w.isalpha() and w.islower() and len(w) < 10)
+            token = " ".join(rng.sample(token.split(), min(4, len(token.split()))))
+            if not token:
+                continue
+            intro = rng.choice(["passphrase: ", "pass phrase is ", "mnemonic: "] if good else ["phrase: ", "the phrase is ", "note: "])
+        elif token.isalpha() and good:
+            intro = rng.choice(keys)
+        elif i % 6 == 2:  # words run together are secrets after a key word only
+            token, good = "".join(rng.choices(words, k=rng.randrange(2, 5))), rng.random() < 0.3
+            intro = rng.choice(keys if good else [*plain, "", ""])
+        elif i % 12 == 3:  # a word over and over is none
+            token, good, intro = " ".join([rng.choice(words)] * rng.randrange(3, 20)), False, ""
+        elif i % 6 == 1:  # an ordinary word after a key word is no secret
+            token, good, intro = rng.choice(words), False, rng.choice(keys)
+        else:
+            intro = rng.choice([*keys, "", ""] if good else [*plain, "", ""])
         cut = rng.randrange(len(piece) + 1) if piece else 0
         head = f"{piece[:cut]} {intro}"
         add(f"{head}{token} {piece[cut:]}", [(len(head), len(head) + len(token))] if good else [])
@@ -167,94 +214,151 @@ def training_rows(texts: list[str], seed: int = 13):
 
 
 class Model:
+    """weights and transitions; gap: by how much the score of O must be ahead to be outside whatever the neighbours are."""
+
     def __init__(self, weights, trans, first):
-        self.weights, self.trans, self.first = weights, trans.copy(), first.copy()
+        self.weights, self.trans, self.first = weights.astype(np.float32), trans.copy(), first.copy()
         self.trans[0, 2] = self.first[2] = -50.0  # inside does not follow outside
-
-
-def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Learn from about sample_docs documents at most, a fixed fraction by the hash of doc_id: half of them from
-    those in which a base pattern may occur."""
+        t, f = self.trans, self.first
+        before = max(*(t[a, x] - t[a, 0] for a in range(3) for x in (1, 2)), f[1] - f[0], f[2] - f[0])
+        # the next is not I, or it is I and becomes B, with the transition after it
+        self.gap_next = before + max(0.0, *(t[x, c] - t[0, c] for x in (1, 2) for c in (0, 1)))
+        self.gap_inside = before + max(t[x, 2] - t[0, 1] for x in (1, 2)) + max(0.0, *(t[2, d] - t[1, d] for d in range(3)))
+
+
+def piece_of(text: str, limit: int) -> str:
+    """At most limit words in a row: around the first base span if there is one, else from a place the text decides."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    if len(words) <= limit:
+        return text
+    spans = base_spans(text)
+    at = next((i for i, w in enumerate(words) if w[1] > spans[0][0]), 0) - limit // 2 if spans else zlib.crc32(text.encode("utf-8", "surrogatepass")) % (len(words) - limit + 1)
+    at = min(max(at, 0), len(words) - limit)
+    return text[words[at][0] : words[at + limit - 1][1]]
+
+
+def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Model:
+    """Learn from pieces of about sample_docs documents (a fixed fraction by the hash of doc_id and text), half of them
+    from those in which a base pattern may occur, and sample_words words of each at most. Twice so many pieces at most
+    reach the driver, however many rows repeat. Texts are of any length; labels are the base spans and made-up secrets."""
     rows = docs.where(F.col("text").isNotNull()).select(
         "doc_id", "text", F.col("text").rlike(r"(?i)(passw|secret|token|api_?key)[^\n]{0,4}[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}").alias("hit")
     )
     counts = {r["hit"]: r["count"] for r in rows.groupBy("hit").count().collect()}
     share = lambda hit: F.lit(int((1 << 30) * min(1.0, sample_docs / 2 / max(1, counts.get(hit, 0)))))
-    u = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30))
-    chosen = rows.where(u < F.when(F.col("hit"), share(True)).otherwise(share(False))).where(F.length("text") < 20_000).select("doc_id", "text").collect()
-    texts = [r["text"] for r in sorted(chosen, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))]
+    u = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 30))
+    cut = text_udf("secret pieces", sample_words, lambda: None, lambda _, texts: pa.array([piece_of(t.as_py(), sample_words) for t in texts], pa.string()), "string")
+    chosen = rows.withColumn("u", u).where(F.col("u") < F.when(F.col("hit"), share(True)).otherwise(share(False)))
+    texts = [r["piece"] for r in chosen.select("u", cut("text").alias("piece")).orderBy("u", "piece").limit(2 * sample_docs).collect()]
     features, labels, runs = training_rows(texts)
     if not len(runs):
         return Model(np.zeros((FEATURES, 3)), np.zeros((3, 3)), np.zeros(3))
-    return Model(*crf.train(features, labels, runs, FEATURES, 3, epochs=8))
+    return Model(*crf.train(features, labels, runs, FEATURES, 3, epochs=5))
 
 
 class Scanner:
     def __init__(self, model: Model):
-        self.model, self.plain = model, {}
-
-    def _is_plain(self, token: str) -> bool:
-        if len(token) > 64:
-            return is_plain(token)
-        if len(self.plain) >= CACHE:
-            self.plain.clear()
-        self.plain[token] = found = is_plain(token)
-        return found
-
-    def all_plain(self, text: str) -> bool:
-        known = self.plain
-        for token in set(text.split()):
-            if not (known[token] if token in known else self._is_plain(token)):
-                return False
-        return True
+        self.model = model
+        self.clear()
+
+    def clear(self):
+        """known: token to its number; of each number the scores it adds to its own place, those to places by NEAR, and
+        the number of its word. Number 0 is no token."""
+        self.known: dict[str, int] = {"": 0}
+        self.passing: list[str] = []
+        self.own, self.near, self.word = np.zeros((1, 3), np.float32), self.model.weights[near_numbers("")][None], np.zeros(1, np.int64)
+
+    def numbers(self, tokens: list[str]) -> np.ndarray:
+        for t in self.passing:
+            del self.known[t]
+        n = len(self.known)
+        self.own, self.near, self.word, self.passing = self.own[:n], self.near[:n], self.word[:n], []
+        known = self.known
+        new = sorted({t for t in tokens if t not in known}, key=lambda t: (len(t) > CACHED_CHARS, t))  # those not kept come last
+        if new:
+            if n + len(new) > CACHE and n > 1:
+                self.clear()
+                return self.numbers(tokens)
+            w = self.model.weights
+            self.own = np.concatenate([self.own, [w[own_numbers(t)].sum(axis=0) for t in new]])
+            self.near = np.concatenate([self.near, w[[near_numbers(t) for t in new]]])
+            self.word = np.concatenate([self.word, [zlib.crc32(t.lower().encode("utf-8", "surrogatepass")) for t in new]])
+            known.update((t, n + i) for i, t in enumerate(new))
+            self.passing = [t for t in new if len(t) > CACHED_CHARS]
+        return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
+
+    def emissions(self, texts: list[str], spans: list[list[tuple[int, int]]]) -> np.ndarray:
+        """Scores of the tags of every token, text after text."""
+        room = 3  # places without a token around every text
+        sizes = [len(s) for s in spans]
+        number_of = self.numbers([t[a:b] for t, s in zip(texts, spans) for a, b in s])
+        at = np.arange(len(number_of)) + np.repeat(np.arange(1, len(sizes) + 1) * room, sizes)
+        ids = np.zeros(len(number_of) + (len(sizes) + 1) * room, np.int64)
+        ids[at] = number_of
+        em = self.own[number_of]
+        for j, k in enumerate(NEAR):
+            em += self.near[ids[at + k], j]
+        em += self.model.weights[pair_numbers(self.word[ids[at - 2]], self.word[ids[at - 1]])]
+        of_file = np.array([self.model.weights[[number(x) for x in document_features(t)]].sum(axis=0) for t in texts], np.float32)
+        return em + np.repeat(of_file, sizes, axis=0)
+
+    def decode(self, em: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens that may be other than O, and their tags on the best path (ties: the lower tag)."""
+        m = self.model
+        ends = np.cumsum(lengths)
+        last, begin = np.zeros(len(em), bool), np.zeros(len(em), bool)
+        last[ends - 1] = begin[ends - np.array(lengths)] = True
+        lead = em[:, 0] - np.maximum(em[:, 1], em[:, 2])
+        turn = np.append(em[1:, 2] - em[1:, 1], 0.0)
+        turn[last] = -np.inf
+        sure = (lead > m.gap_next + 1e-3) & (lead > m.gap_inside + turn + 1e-3)
+        open_ = np.flatnonzero(~sure)
+        if not len(open_):
+            return open_, open_
+        head = np.ones(len(open_), bool)
+        head[1:] = (open_[1:] != open_[:-1] + 1) | begin[open_[1:]]
+        tail = np.append(head[1:], True)
+        part = em[open_].astype(np.float64)
+        # what stands before and after a run: nothing, or a token that is O
+        opens = open_[head]
+        part[head] += np.where(begin[opens][:, None], m.first, m.trans[0])
+        closes = open_[tail]
+        part[tail] += np.where(last[closes][:, None], 0.0, m.trans[:, 0])
+        starts = np.flatnonzero(head)
+        return open_, crf.viterbi(part, m.trans, np.zeros(3), np.diff(np.append(starts, len(open_))))
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """Spans of each text as (start, kind, end, where the secret begins), sorted; added ones overlap no base span."""
         out = [base_spans(t) for t in texts]
-        owner, spans, flat, sizes, runs = [], [], [], [], []
-        for i, text in enumerate(texts):
-            if self.all_plain(text):
-                continue
-            s, f, r = candidates(text)
-            owner += [i] * len(s)
-            spans += s
-            sizes += map(len, f)
-            flat += [x for y in f for x in y]
-            runs += r
-        if not spans:
+        spans = [[m.span() for m in TOKEN.finditer(t)] for t in texts]
+        held = [i for i, s in enumerate(spans) if s]
+        if not held:
             return out
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        em = np.add.reduceat(self.model.weights[np.array(flat)], starts, axis=0)
-        best = crf.viterbi(em, self.model.trans, self.model.first, np.array(runs))
-        inside = set(np.cumsum(runs)[:-1].tolist())  # first rows of the later runs
-        found, now = [], None
-        for k, tag in enumerate(best.tolist()):
-            if tag == 2 and now and k not in inside and now[0] == owner[k]:
-                now[2] = spans[k][1]
-            elif tag:
-                found.append(now := [owner[k], *spans[k]])
+        lengths = [len(spans[i]) for i in held]
+        at, tag = self.decode(self.emissions([texts[i] for i in held], [spans[i] for i in held]), lengths)
+        start = np.cumsum([0, *lengths])
+        now = None
+        found = []
+        for k, y in zip(at[tag > 0].tolist(), tag[tag > 0].tolist()):
+            doc = int(np.searchsorted(start, k, side="right")) - 1
+            a, b = spans[held[doc]][k - int(start[doc])]
+            if y == 2 and now and now[3] == k - 1 and now[0] == held[doc]:
+                now[2], now[3] = b, k
             else:
-                now = None
-        for i, a, b in found:
+                found.append(now := [held[doc], a, b, k])
+        for i, a, b, _ in found:
             while b > a + 1 and texts[i][b - 1] in ".,-":
                 b -= 1
-            if b - a >= 8 and not any(s[0] < b and a < s[2] for s in out[i]):
+            if not any(s[0] < b and a < s[2] for s in out[i]):
                 out[i].append((a, 3, b, a))
         return [sorted(x) for x in out]
 
 
-def scanner(shared) -> Scanner:
-    held = worker_cache()
-    if held.get("secrets", (None,))[0] != shared.id:
-        held["secrets"] = shared.id, Scanner(shared.value)
-    return held["secrets"][1]
-
-
 def written(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in spans)
 
 
-def _blocks(texts: list, size: int = 4_000_000) -> Iterator[list]:
+def _blocks(texts: list, size: int = CHARS_AT_ONCE) -> Iterator[list]:
     block, n = [], 0
     for text in texts:
         block.append(text or "")
@@ -266,56 +370,52 @@ def _blocks(texts: list, size: int = 4_000_000) -> Iterator[list]:
         yield block
 
 
+FOUND = pa.struct([(n, pa.int64()) for n in ("n_assign", "n_access", "n_hex")] + [(n, pa.string()) for n in ("base_sha256", "spans")])
+
+
 def find_secrets(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (``kind:start:end``, in code points) of every row.
 
-    A null text is empty and has no span; repeated rows give repeated rows; other columns are not read.
+    A null text is empty and has no span; repeated rows give repeated rows; other columns are not read. Spans that the
+    field adds never overlap a base span, and lose marks at their end.
     """
     shared = Shared(docs.sparkSession, model)
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    def run(own, texts):
+        rows = []
+        for block in _blocks(texts.to_pylist()):
+            for spans in own.scan(block):
+                base = [s for s in spans if s[1] < 3]
+                n = [sum(s[1] == k for s in base) for k in range(3)]
+                rows.append((*n, hashlib.sha256(written(base).encode()).hexdigest(), written(spans)))
+        return structs(FOUND, rows)
 
-        tool = scanner(shared)
-        for batch in batches:
-            rows = []
-            for block in _blocks(batch.column("text").to_pylist()):
-                for spans in tool.scan(block):
-                    base = [s for s in spans if s[1] < 3]
-                    n = [sum(s[1] == k for s in base) for k in range(3)]
-                    rows.append((*n, hashlib.sha256(written(base).encode()).hexdigest(), written(spans)))
-            cols = list(zip(*rows)) if rows else [()] * 5
-            kinds = [pa.int64()] * 3 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    scan = text_udf("secrets", shared.id, lambda: Scanner(shared.value), run, "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    found = fresh(docs, "found")
+    return docs.select(F.col("doc_id").cast("long"), scan("text").alias(found)).select("doc_id", f"{found}.*")
 
 
 def redact(docs: DataFrame, model: Model, *, mark: str = "[SECRET]") -> DataFrame:
     """docs with mark in place of each secret of text (of an assignment: of its value); other columns, null texts
-    and the order of columns stay."""
-    shared, at = Shared(docs.sparkSession, model), docs.columns.index("text")
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        tool = scanner(shared)
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            found = [s for block in _blocks(texts) for s in tool.scan(block)]
-            for i, spans in enumerate(found):
-                if spans:
-                    out, end = [], 0
-                    for a, b in sorted((s[3], s[2]) for s in spans):
-                        if a >= end:
-                            out += [texts[i][end:a], mark]
-                        end = max(end, b)
-                    texts[i] = "".join([*out, texts[i][end:]])
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
+    and the order of columns stay, and rows that repeat are masked alike."""
+    shared = Shared(docs.sparkSession, model)
+
+    def run(own, texts):
+        out = []
+        own_texts = texts.to_pylist()
+        for text, spans in zip(own_texts, (s for block in _blocks(own_texts) for s in own.scan(block))):
+            if spans:
+                parts, end = [], 0
+                for a, b in sorted((s[3], s[2]) for s in spans):
+                    if a >= end:
+                        parts += [text[end:a], mark]
+                    end = max(end, b)
+                text = "".join([*parts, text[end:]])
+            out.append(text)
+        return pa.array(out, pa.string())
+
+    clean = text_udf("secrets", shared.id, lambda: Scanner(shared.value), run, "string")
+    return docs.select(*[clean("text").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_secret_scan(spark, sf_dir):

@@ -3,8 +3,9 @@
 Count-min prefilter: the count of a window is overestimated by that of its minimizer, the least hash of the short
 grams inside it, which equal windows share. Each partition counts the documents of its minimizers in the cells of
 DEPTH rows; these sketches are merged by stripe, and what is kept is one bit for each cell: two documents or more.
-Only windows whose minimizer has that bit in every row are grouped, exactly, by 128-bit hashes of their words; no
-window that two documents share can be lost. The size of the bits is fixed by CELLS and DEPTH; with more
+Only windows whose minimizer has that bit in every row are grouped, by two polynomials over independent halves of
+128-bit word hashes (words or windows that differ would have to agree in both); no window that two documents share
+can be lost. The size of the bits is fixed by CELLS and DEPTH; with more
 minimizers than cells the filter lets more through, and the result stays the same.
 
 Two things keep the second pass small. Of rows with equal texts only the one with the least doc_id takes part: in
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shared, materialize, table, worker_cache
+from .common import Shared, discard, materialize, table, tool
 from .minhash_dedup import BROADCAST_IDS, Known, mix, with_ids
 
 WINDOW, GRAM = 13, 5
@@ -30,30 +31,30 @@ WINDOW, GRAM = 13, 5
 CELLS, DEPTH, STRIPE = 1 << 27, 2, 1 << 16
 #: A row: its document, and a hash of both so that rows that share a doc_id stay apart.
 KEY = ["doc_id", "row_id"]
-#: Windows that a task settles at once at most.
-SETTLED = 2_000_000
+#: Windows that a task settles, and cells that it counts, at once at most (but for those of one text).
+SETTLED, SKETCHED = 2_000_000, 4_000_000
 _B = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _ROW = np.array([0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 _SHIFT = np.uint64(64 - (CELLS.bit_length() - 1))
 
 
 class Words:
-    """64-bit hashes of the words of texts."""
+    """Of the words of texts, the two halves of their 128-bit hashes (rows 0 and 1)."""
 
     def __init__(self):
         import xxhash
 
-        self.known = Known(xxhash.xxh3_64_intdigest)
+        self.known = Known(xxhash.xxh3_128_digest)
 
     def __call__(self, text: str | None) -> np.ndarray:
         own = (text or "").encode("utf-8", "surrogatepass").split()
-        return np.fromiter(self.known.of(own), np.uint64, len(own))
+        return np.frombuffer(b"".join(self.known.of(own)), np.uint64).reshape(-1, 2).T
 
 
 def rolled(words: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
     """A polynomial of each n consecutive words, modulo 2 ** 64."""
     m = len(words) - n + 1
-    h = words[:m].copy()
+    h = words[:m].copy()  # contiguous
     for i in range(1, n):
         h *= base
         h += words[i : i + m]
@@ -82,17 +83,21 @@ def partition_sketch(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own, parts = Words(), []
+        own, parts, size = Words(), [], 0
         for batch in batches:
             for text in batch.column("text"):
-                w = own(text.as_py())
+                w = own(text.as_py())[0]
                 if len(w) >= WINDOW:
                     parts.append(np.concatenate(cells(np.unique(minimizers(w)))))
-            if len(parts) > 20_000:
-                every, n = np.unique(np.concatenate(parts), return_counts=True)
-                parts = [every, every[n > 1]]  # twice stands for twice or more
-        if not parts:
-            return
+                    size += len(parts[-1])
+                if size > SKETCHED:
+                    # a cell's two counts go on; the partition's rows for a stripe are summed when sketches are merged
+                    yield from packed(pa, parts)
+                    parts, size = [], 0
+        if parts:
+            yield from packed(pa, parts)
+
+    def packed(pa, parts):
         every, n = np.unique(np.concatenate(parts), return_counts=True)
         stripe = every // STRIPE
         cut = np.concatenate([np.flatnonzero(np.diff(stripe, prepend=-1)), [len(every)]])
@@ -148,18 +153,18 @@ def repeated_windows(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held = worker_cache()
-        if held.get("sketch", (None,))[0] != shared.id:
+        def build():
             bits = np.zeros(CELLS * DEPTH // 8, np.uint8)
             for s, b in shared.value:
                 bits[s * STRIPE // 8 : (s + 1) * STRIPE // 8] = np.frombuffer(b, np.uint8)
-            held["sketch"] = shared.id, bits
-        bits, own = held["sketch"][1], Words()
+            return bits
+
+        bits, own = tool("sketch", shared.id, build), Words()
         part: list = []
         size = 0
         for batch in batches:
             for doc, text, code in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("row_id").to_pylist()):
-                w = own(text.as_py())
+                w, w2 = own(text.as_py())
                 if len(w) < WINDOW:
                     continue
                 least = minimizers(w)
@@ -169,7 +174,7 @@ def repeated_windows(docs: DataFrame, shared) -> DataFrame:
                     hit &= (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
                 at = np.flatnonzero(hit[back])
                 if len(at):
-                    part.append((doc, code, rolled(w, WINDOW, _B[0])[at], rolled(w, WINDOW, _B[1])[at], at.astype(np.int32)))
+                    part.append((doc, code, rolled(w, WINDOW, _B[0])[at], rolled(w2, WINDOW, _B[1])[at], at.astype(np.int32)))
                     size += len(at)
                 if size > SETTLED:
                     yield from settled(pa, part)
