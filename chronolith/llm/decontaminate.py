@@ -1,10 +1,12 @@
 """Benchmark decontamination: passages of documents that are copies, exact or near, of a benchmark's items.
 
 A SimHash fingerprint is taken of each item, over its weighted word shingles, and of every window of an item's size
-in every document. A multi-index of Hamming blocks finds the items of that size within RADIUS bits: two fingerprints
-that differ in no more bits differ in at most BLOCK_BITS_OFF in one of the BLOCKS at least, and every value of a
-block is listed with the items within that distance, so none is missed. Candidates are verified by the exact weighted
-Jaccard similarity of their shingles (weight: how often a shingle occurs).
+in every document. Sizes are rounded down by at most a twelfth (to 24 shingles not at all), so that their number grows
+with the logarithm of the longest item; an item is fingerprinted from its first shingle over such a size. A multi-index
+of Hamming blocks finds the items of that size within RADIUS bits: two fingerprints that differ in no more bits differ
+in at most BLOCK_BITS_OFF in one of the BLOCKS at least, and every value of a block is listed with the items within that
+distance, so none is missed. Candidates are verified by the exact weighted Jaccard similarity of all shingles of the item
+and of as many from the window's first (weight: how often a shingle occurs).
 
 The benchmark is a query set: it goes to the executors in blocks of items, whose size is bounded.
 """
@@ -36,7 +38,7 @@ ITEMS_AT_ONCE, CHARS_AT_ONCE = 20_000, 8_000_000
 WORDS_AT_ONCE, WINDOWS_AT_ONCE = 200_000, 16_384
 _STEP = np.random.default_rng(77).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFF = np.array([sum(1 << b for b in bits) for n in range(BLOCK_BITS_OFF + 1) for bits in combinations(range(16), n)], np.uint16)
-_BIT = np.array([1 << k for k in range(BLOCKS)], np.uint8)
+_TABLE = np.arange(BLOCKS) << 16
 _MARKS = re.compile(r"[\W_]+")
 
 
@@ -47,13 +49,13 @@ class Words:
         import xxhash
 
         def hashed(word: str) -> int:
-            plain = _MARKS.sub("", word.lower())
+            plain = word if word.isalnum() else _MARKS.sub("", word)
             return xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) | 1 if plain else 0
 
         self.known = Known(hashed)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        own = (text or "").split()
+        own = (text or "").lower().split()
         h = np.fromiter(self.known.of(own), np.uint64, len(own))
         return h[h != 0]
 
@@ -69,6 +71,14 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
+def rounded(size: int) -> int:
+    """The size of the windows for items of size shingles."""
+    own = 1
+    while own + max(1, own // 12) <= size:
+        own += max(1, own // 12)
+    return own
+
+
 def sums(hashes: np.ndarray, width: int) -> np.ndarray:
     """Running sums of each of the 64 bits of hashes, with a row of zeros before; sums of width rows fit the type."""
     kind = np.uint8 if width < 1 << 8 else np.uint16 if width < 1 << 16 else np.uint32
@@ -80,50 +90,51 @@ def sums(hashes: np.ndarray, width: int) -> np.ndarray:
 def fingerprints(total: np.ndarray, width: int) -> np.ndarray:
     """SimHash of each width consecutive rows of sums: each bit by the majority of the shingles, ties 1."""
     ones = total[width:] - total[:-width]
-    return np.packbits(ones >= (width + 1) // 2, axis=1).view(np.uint64).ravel()
+    return np.packbits((ones >= total.dtype.type((width + 1) // 2)).ravel()).view(np.uint64)
 
 
 def similarity(a: np.ndarray, b: Counter) -> float:
     c = Counter(a.tolist())
     low = sum(min(n, b[s]) for s, n in c.items() if s in b)
-    return low / (len(a) + sum(b.values()) - low)
+    return low / (len(a) + b.total() - low)
 
 
 class Group:
-    """The items of one size: their shingles, fingerprints, and the multi-index of the fingerprints' blocks."""
+    """The items of one rounded size: their shingles, fingerprints, and the multi-index of the fingerprints' blocks."""
 
     def __init__(self):
-        self.items, self.bags, self.prints = [], [], []
+        self.items, self.bags, self.sizes, self.prints = [], [], [], []
 
     def close(self) -> Group:
-        self.prints = np.array(self.prints, np.uint64)
+        self.prints, self.sizes = np.array(self.prints, np.uint64), np.array(self.sizes)
         blocks = self.prints.view(np.uint16).reshape(-1, BLOCKS)
-        self.listed = np.zeros(1 << 16, np.uint8)  # bit k: block k of some item is that near
         starts, items = [np.zeros(1, np.int64)], []
         for k in range(BLOCKS):
             near = (blocks[:, k, None] ^ _OFF).ravel()
-            self.listed[near] |= 1 << k
             order = np.argsort(near, kind="stable")
             starts.append(np.cumsum(np.bincount(near, minlength=1 << 16)) + starts[-1][-1])
             items.append(order // len(_OFF))
+        # of every value of every block: the place of its list of items, and whether it has one
         self.starts, self.listed_items = np.concatenate(starts).astype(np.int32), np.concatenate(items).astype(np.int32)
+        self.listed = np.diff(self.starts) > 0
         return self
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in prints, item number) of the pairs within RADIUS, in order."""
-        blocks = prints.view(np.uint16).astype(np.int64)
-        at = np.flatnonzero(self.listed.take(blocks).reshape(-1, BLOCKS) & _BIT)
-        slot = blocks[at] + ((at % BLOCKS) << 16)
-        first, end = self.starts[slot], self.starts[slot + 1]
-        own, found = prints[at // BLOCKS], []
+        slots = (prints.view(np.uint16).reshape(-1, BLOCKS) + _TABLE).ravel()
+        at = np.flatnonzero(self.listed.take(slots))
+        slot = slots.take(at)
+        at //= BLOCKS
+        first, end = self.starts.take(slot), self.starts.take(slot + 1)
+        own, found = prints.take(at), []
         while len(at):
-            item = self.listed_items[first]
-            good = np.flatnonzero(np.bitwise_count(own ^ self.prints[item]) <= RADIUS)
+            item = self.listed_items.take(first)
+            good = np.flatnonzero(np.bitwise_count(own ^ self.prints.take(item)) <= RADIUS)
             if len(good):
-                found.append((at[good] // BLOCKS) * len(self.items) + item[good])
-            first = first + 1
+                found.append(at[good] * len(self.items) + item[good])
+            first += 1
             more = np.flatnonzero(first < end)
-            at, first, end, own = at[more], first[more], end[more], own[more]
+            at, first, end, own = at.take(more), first.take(more), end.take(more), own.take(more)
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.divmod(np.unique(np.concatenate(found)), len(self.items))
@@ -139,10 +150,12 @@ class Index:
             h = shingles(self.words(text))
             if not len(h):
                 continue
-            group = groups.setdefault(len(h), Group())
+            width = rounded(len(h))
+            group = groups.setdefault(width, Group())
             group.items.append(item)
             group.bags.append(Counter(h.tolist()))
-            group.prints.append(fingerprints(sums(h, len(h)), len(h))[0])
+            group.sizes.append(len(h))
+            group.prints.append(fingerprints(sums(h[:width], width), width)[0])
         self.groups = {width: groups.pop(width).close() for width in sorted(groups)}
 
     def search(self, texts: list[str | None]) -> list[dict[int, tuple[float, int, int]]]:
@@ -165,6 +178,7 @@ class Index:
         words = np.concatenate([w for _, w in held])
         owner = np.repeat(np.arange(len(held)), [len(w) for _, w in held])
         begin = np.cumsum([0, *(len(w) for _, w in held)])
+        ends = begin[1:][owner]
         h = shingles(words)
         most = max(self.groups)
         for base in range(0, len(h), WINDOWS_AT_ONCE):
@@ -176,15 +190,16 @@ class Index:
                     break  # groups are sorted by width
                 place, item = group.near(fingerprints(total[: n + width], width))
                 place += base
-                same = owner[place] == owner[place + width + SHINGLE - 2]  # windows end in the document that they begin in
-                for p, k in zip(place[same].tolist(), item[same].tolist()):
-                    sim = similarity(h[p : p + width], group.bags[k])
+                size = group.sizes[item]
+                same = ends[place] >= place + size + SHINGLE - 1  # windows end in the document that they begin in
+                for p, k, size in zip(place[same].tolist(), item[same].tolist(), size[same].tolist()):
+                    sim = similarity(h[p : p + size], group.bags[k])
                     if sim >= SIMILAR - 1e-12:
                         doc = int(owner[p])
                         found, first = out[held[doc][0]], p - int(begin[doc])
                         best = found.get(group.items[k])
                         if best is None or (-sim, first) < (-best[0], best[1]):
-                            found[group.items[k]] = sim, first, width + SHINGLE - 1
+                            found[group.items[k]] = sim, first, size + SHINGLE - 1
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:

@@ -14,6 +14,7 @@ import re
 import string
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import crf
 from .common import Shared, fresh, structs, table, text_udf
+from .minhash_dedup import mix
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -35,12 +37,13 @@ FEATURES = 1 << 15
 #: Distinct tokens that a worker keeps the scores of, characters of the longest of them, and characters of text that
 #: are tagged at once (a longer text is tagged whole, by itself). None of these changes a result.
 CACHE, CACHED_CHARS, CHARS_AT_ONCE = 200_000, 64, 1_000_000
-#: Documents that the field is trained on (about so many, half of them with base spans), words taken of each, and
-#: made-up secrets and other tokens among them.
-SAMPLE_DOCS, SAMPLE_WORDS, SYNTHETIC = 1_000, 120, 3_000
+#: Documents that the field is trained on (half of them with base spans), those that they are chosen from (about so
+#: many), words taken of each, and made-up secrets and other tokens among them.
+SAMPLE_DOCS, POOL_DOCS, SAMPLE_WORDS, SYNTHETIC = 1_000, 20_000, 120, 3_000
+POSSIBLE = r"(?i)(passw|secret|token|api_?key)[^\n]{0,4}[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 #: Offsets of the neighbours whose words are features.
-NEAR = (-3, -2, -1, 1)
-_PAIR = np.array([0x9E3779B1, 0x85EBCA77], np.int64)
+NEAR, ROOM = (-3, -2, -1, 1), 3
+MARKS = "+/=.~_-"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -56,69 +59,121 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(out)
 
 
-def shape(token: str) -> str:
-    """The kinds of the characters of the whole token, runs shortened to one."""
-    kinds = "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token)
-    return re.sub(r"(.)\1+", r"\1", kinds)
-
-
-def token_features(token: str) -> list[str]:
-    n, seen, form = len(token), set(token), shape(token)
-    digits = sum(c.isdigit() for c in token)
-    vowels = sum(c in "aeiouyAEIOUY" for c in token)
-    size = min(n // 4, 12)
-    return [
-        f"shape {form if len(form) <= 12 else ''.join(sorted(set(form)))}",
-        f"changes {min(len(form) // 2, 12)} {size}",
-        f"kinds {''.join(sorted(set(form)))} {size}",
-        f"digits {4 * digits // n}",
-        f"vowels {8 * vowels // n} {size}",
-        f"distinct {min(len(seen) // 4, 8)} {size}",
-        f"hex {seen <= set('0123456789abcdef')} {size}",
-        f"begins {token[:4].lower()}",
-        f"ends {token[-3:].lower()} {size}",
-        f"marks {''.join(sorted(seen & set('+/.=~_-')))} {min(n // 16, 3)}",
-        f"word {token.lower()}",
-        "all",
-    ]
-
-
 def number(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % FEATURES
 
 
-def document_features(text: str) -> list[str]:
-    low = text.lower()
-    return [f"file {k}" for k in ("key", "secret", "token", "passw", "bearer", "auth") if k in low] + [f"file = {min(text.count('='), 4)}"]
+def numbers(kind: int, value: np.ndarray) -> np.ndarray:
+    """Feature numbers of values of one kind of feature."""
+    return (mix(np.asarray(value).astype(np.uint64) * np.uint64(64) + np.uint64(kind)) % np.uint64(FEATURES)).astype(np.int64)
+
+
+def kind_of(char: str) -> int:
+    """0 digit, 1 upper case, 2 other letter, then each of MARKS, then other characters; below 64."""
+    return 0 if char.isdigit() else 1 if char.isupper() else 2 if char.isalpha() else 3 + MARKS.index(char) if char in MARKS else 10 + ord(char) % 54
+
+
+_KIND = np.array([kind_of(chr(i)) for i in range(128)], np.uint8)
+_VOWEL, _HEX_DIGIT = (np.array([chr(i) in x for i in range(128)]) for x in ("aeiouyAEIOUY", "0123456789abcdef"))
+
+
+def points_of(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all tokens (none empty), how many each has, and where each begins."""
+    n = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32), n, np.cumsum(n) - n
+
+
+def kinds_of(points: np.ndarray) -> np.ndarray:
+    kind = _KIND[np.minimum(points, 127)]
+    other = np.flatnonzero(points > 127)
+    if len(other):
+        seen, where = np.unique(points[other], return_inverse=True)
+        kind[other] = np.array([kind_of(chr(c)) for c in seen.tolist()], np.uint8)[where]
+    return kind
+
+
+def word_hashes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased tokens, of their first four characters and of their last three."""
+    points, n, start = points_of([t.lower() for t in tokens])
+    nth = np.arange(len(points)) - np.repeat(start, n)
+    placed = mix(points + (nth.astype(np.uint64) << np.uint64(21)))
+    last = np.repeat(n, n) - nth
+    ends = mix(points + (last.astype(np.uint64) << np.uint64(21)))
+    return np.add.reduceat(placed, start), np.add.reduceat(placed * (nth < 4), start), np.add.reduceat(ends * (last <= 3), start)
+
+
+def token_numbers(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token, of its whole length: the numbers of its own features (shape with runs shortened to one, or the
+    kinds in it where there are more than 12 runs; how often the kind changes; which kinds; shares of digits and vowels;
+    distinct characters; hexadecimal; beginning, end, marks, the word itself; one that all have), and the word's hash."""
+    points, n, start = points_of(tokens)
+    own = np.repeat(np.arange(len(tokens)), n)
+    count = lambda what: np.add.reduceat(what, start, dtype=np.int64)
+    kind, low = kinds_of(points), np.minimum(points, 127)
+    change = np.ones(len(points), bool)
+    change[1:] = kind[1:] != kind[:-1]
+    change[start] = True
+    nth = np.cumsum(change)
+    nth -= (nth[start] - 1)[own]
+    runs, present = count(change), np.bitwise_or.reduceat(np.uint64(1) << kind.astype(np.uint64), start)
+    form = np.add.reduceat(mix(kind + (nth.astype(np.uint64) << np.uint64(6))) * change, start)
+    word, begins, ends = word_hashes(tokens)
+    distinct = np.bincount(np.unique((own << 21) | points) >> 21, minlength=len(tokens))
+    size = np.minimum(n // 4, 12)
+    sized = lambda value: value.astype(np.uint64) * np.uint64(16) + size.astype(np.uint64)
+    marks = (present >> np.uint64(3)) & np.uint64((1 << len(MARKS)) - 1)
+    values = [
+        np.where(runs <= 12, form, mix(present)),
+        sized(np.minimum(runs // 2, 12)),
+        sized(mix(present)),
+        4 * count(kind == 0) // n,
+        sized(8 * count(_VOWEL[low]) // n),
+        sized(np.minimum(distinct // 4, 8)),
+        sized(count(_HEX_DIGIT[low]) == n),
+        begins,
+        sized(ends),
+        marks * np.uint64(4) + np.minimum(n // 16, 3).astype(np.uint64),
+        word,
+        np.zeros(len(tokens), np.int64),
+    ]
+    return np.stack([numbers(i, v) for i, v in enumerate(values)], axis=1), word
+
 
+def near_numbers(word: np.ndarray) -> np.ndarray:
+    """The features of being the word at each of NEAR; 0 is no word."""
+    return np.stack([numbers(20 + j, word) for j in range(len(NEAR))], axis=1)
 
-def own_numbers(token: str) -> list[int]:
-    return [number(x) for x in dict.fromkeys(token_features(token))]
 
+def pair_numbers(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The feature of two words in a row."""
+    return numbers(40, before * np.uint64(3) + last)
 
-def near_numbers(token: str) -> list[int]:
-    """The feature of being the word at each of NEAR."""
-    low = token.lower()
-    return [number(f"{k:+} {low}") for k in NEAR]
 
+def document_numbers(text: str) -> list[int]:
+    low = text.lower()
+    return [number(f"file {k}") for k in ("key", "secret", "token", "passw", "bearer", "auth") if k in low] + [number(f"file = {min(text.count('='), 4)}")]
 
-def pair_numbers(before: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The feature of two words in a row, from the numbers of the words."""
-    return ((before * _PAIR[0] + last * _PAIR[1]) >> 7) % FEATURES
 
+def places(sizes: list[int]) -> np.ndarray:
+    """Where the tokens of texts of these sizes stand in a row that keeps ROOM places free around every text."""
+    sizes = np.asarray(sizes, np.int64)
+    return np.arange(sizes.sum()) + np.repeat(np.arange(1, len(sizes) + 1) * ROOM, sizes)
 
-def features_of(tokens: list[str], of_file: list[str]) -> list[np.ndarray]:
-    """Feature numbers of each token of a text."""
-    file_numbers = [number(x) for x in of_file]
-    word = np.array([zlib.crc32(t.lower().encode("utf-8", "surrogatepass")) for t in ["", "", *tokens]], np.int64)
-    pairs = pair_numbers(word[:-2], word[1:-1])
-    near = [near_numbers(t) for t in tokens]
-    none = near_numbers("")
-    out = []
-    for i, token in enumerate(tokens):
-        around = [(near[i + k] if 0 <= i + k < len(tokens) else none)[j] for j, k in enumerate(NEAR)]
-        out.append(np.array([*own_numbers(token), *around, int(pairs[i]), *file_numbers]))
-    return out
+
+def features_of(texts: list[list[str]], of_file: list[list[int]]) -> list[np.ndarray]:
+    """Feature numbers of each token of each text."""
+    tokens = [t for text in texts for t in text]
+    if not tokens:
+        return []
+    sizes = [len(t) for t in texts]
+    at = places(sizes)
+    own, word = token_numbers(tokens)
+    row = np.zeros(len(tokens) + (len(texts) + 1) * ROOM, np.uint64)
+    row[at] = word
+    near = np.stack([numbers(20 + j, row[at + k]) for j, k in enumerate(NEAR)], axis=1)
+    both = np.concatenate([own, near, pair_numbers(row[at - 2], row[at - 1])[:, None]], axis=1)
+    files = [np.array(f, np.int64) for f, n in zip(of_file, sizes) for _ in range(n)]
+    return [np.concatenate(x) for x in zip(both, files)]
 
 
 def tags(spans: list[tuple[int, int]], secrets: list[tuple[int, int]]) -> list[int]:
@@ -168,14 +223,14 @@ def training_rows(texts: list[str], seed: int = 13):
     """Feature numbers, tags and run lengths: the texts tagged by their base spans, and pieces of them with made-up
     tokens put in after an introduction (key words before secrets and others alike; pass phrases are words of the texts)."""
     rng = random.Random(seed)
-    features, labels, runs = [], [], []
+    tokens, of_file, labels = [], [], []
 
     def add(text, secrets):
         spans = [m.span() for m in TOKEN.finditer(text)]
         if spans:
-            features.extend(features_of([text[a:b] for a, b in spans], document_features(text)))
+            tokens.append([text[a:b] for a, b in spans])
+            of_file.append(document_numbers(text))
             labels.extend(tags(spans, secrets))
-            runs.append(len(spans))
 
     for text in texts:
         add(text, [(s[3], s[2]) for s in base_spans(text)])
@@ -210,7 +265,7 @@ def training_rows(texts: list[str], seed: int = 13):
         cut = rng.randrange(len(piece) + 1) if piece else 0
         head = f"{piece[:cut]} {intro}"
         add(f"{head}{token} {piece[cut:]}", [(len(head), len(head) + len(token))] if good else [])
-    return features, np.array(labels, np.int64), np.array(runs, np.int64)
+    return features_of(tokens, of_file), np.array(labels, np.int64), np.array([len(t) for t in tokens], np.int64)
 
 
 class Model:
@@ -237,19 +292,19 @@ def piece_of(text: str, limit: int) -> str:
     return text[words[at][0] : words[at + limit - 1][1]]
 
 
-def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Model:
-    """Learn from pieces of about sample_docs documents (a fixed fraction by the hash of doc_id and text), half of them
-    from those in which a base pattern may occur, and sample_words words of each at most. Twice so many pieces at most
-    reach the driver, however many rows repeat. Texts are of any length; labels are the base spans and made-up secrets."""
-    rows = docs.where(F.col("text").isNotNull()).select(
-        "doc_id", "text", F.col("text").rlike(r"(?i)(passw|secret|token|api_?key)[^\n]{0,4}[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}").alias("hit")
-    )
-    counts = {r["hit"]: r["count"] for r in rows.groupBy("hit").count().collect()}
-    share = lambda hit: F.lit(int((1 << 30) * min(1.0, sample_docs / 2 / max(1, counts.get(hit, 0)))))
+def fit(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, pool: int = POOL_DOCS) -> Model:
+    """Learn from pieces of sample_docs documents, of sample_words words each at most, half of them (or all there are)
+    such in which a base pattern may occur. They are taken from about pool documents: a fixed fraction by the hash of
+    doc_id and text, in the order of that hash. Texts are of any length; labels are the base spans and made-up secrets."""
+    rows = docs.where(F.col("text").isNotNull())
     u = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 30))
+    part = int((1 << 30) * min(1.0, pool / max(1, rows.count())))
     cut = text_udf("secret pieces", sample_words, lambda: None, lambda _, texts: pa.array([piece_of(t.as_py(), sample_words) for t in texts], pa.string()), "string")
-    chosen = rows.withColumn("u", u).where(F.col("u") < F.when(F.col("hit"), share(True)).otherwise(share(False)))
-    texts = [r["piece"] for r in chosen.select("u", cut("text").alias("piece")).orderBy("u", "piece").limit(2 * sample_docs).collect()]
+    rows = rows.select("text", u.alias("u")).where(F.col("u") < part).select("u", "text", F.col("text").rlike(POSSIBLE).alias("hit"))
+    texts = []
+    for hit in (True, False):
+        few = rows.where("hit" if hit else "not hit").orderBy("u", "text").limit(sample_docs // 2)
+        texts += [r["piece"] for r in few.select("u", cut("text").alias("piece")).collect()]
     features, labels, runs = training_rows(texts)
     if not len(runs):
         return Model(np.zeros((FEATURES, 3)), np.zeros((3, 3)), np.zeros(3))
@@ -263,10 +318,11 @@ class Scanner:
 
     def clear(self):
         """known: token to its number; of each number the scores it adds to its own place, those to places by NEAR, and
-        the number of its word. Number 0 is no token."""
+        the hash of its word. Number 0 is no token."""
         self.known: dict[str, int] = {"": 0}
         self.passing: list[str] = []
-        self.own, self.near, self.word = np.zeros((1, 3), np.float32), self.model.weights[near_numbers("")][None], np.zeros(1, np.int64)
+        self.word = np.zeros(1, np.uint64)
+        self.own, self.near = np.zeros((1, 3), np.float32), self.model.weights[near_numbers(self.word)]
 
     def numbers(self, tokens: list[str]) -> np.ndarray:
         for t in self.passing:
@@ -274,32 +330,32 @@ class Scanner:
         n = len(self.known)
         self.own, self.near, self.word, self.passing = self.own[:n], self.near[:n], self.word[:n], []
         known = self.known
-        new = sorted({t for t in tokens if t not in known}, key=lambda t: (len(t) > CACHED_CHARS, t))  # those not kept come last
+        new = sorted(set(tokens).difference(known), key=lambda t: len(t) > CACHED_CHARS)  # those not kept come last
         if new:
             if n + len(new) > CACHE and n > 1:
                 self.clear()
                 return self.numbers(tokens)
             w = self.model.weights
-            self.own = np.concatenate([self.own, [w[own_numbers(t)].sum(axis=0) for t in new]])
-            self.near = np.concatenate([self.near, w[[near_numbers(t) for t in new]]])
-            self.word = np.concatenate([self.word, [zlib.crc32(t.lower().encode("utf-8", "surrogatepass")) for t in new]])
-            known.update((t, n + i) for i, t in enumerate(new))
+            own, word = token_numbers(new)
+            self.own = np.concatenate([self.own, w[own].sum(axis=1)])
+            self.near = np.concatenate([self.near, w[near_numbers(word)]])
+            self.word = np.concatenate([self.word, word])
+            known.update(zip(new, range(n, n + len(new))))
             self.passing = [t for t in new if len(t) > CACHED_CHARS]
         return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
 
-    def emissions(self, texts: list[str], spans: list[list[tuple[int, int]]]) -> np.ndarray:
+    def emissions(self, texts: list[str], tokens: list[list[str]]) -> np.ndarray:
         """Scores of the tags of every token, text after text."""
-        room = 3  # places without a token around every text
-        sizes = [len(s) for s in spans]
-        number_of = self.numbers([t[a:b] for t, s in zip(texts, spans) for a, b in s])
-        at = np.arange(len(number_of)) + np.repeat(np.arange(1, len(sizes) + 1) * room, sizes)
-        ids = np.zeros(len(number_of) + (len(sizes) + 1) * room, np.int64)
+        sizes = [len(t) for t in tokens]
+        number_of = self.numbers(list(chain.from_iterable(tokens)))
+        at = places(sizes)
+        ids = np.zeros(len(number_of) + (len(sizes) + 1) * ROOM, np.int64)
         ids[at] = number_of
         em = self.own[number_of]
         for j, k in enumerate(NEAR):
             em += self.near[ids[at + k], j]
         em += self.model.weights[pair_numbers(self.word[ids[at - 2]], self.word[ids[at - 1]])]
-        of_file = np.array([self.model.weights[[number(x) for x in document_features(t)]].sum(axis=0) for t in texts], np.float32)
+        of_file = np.array([self.model.weights[document_numbers(t)].sum(axis=0) for t in texts], np.float32)
         return em + np.repeat(of_file, sizes, axis=0)
 
     def decode(self, em: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -330,18 +386,19 @@ class Scanner:
     def scan(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """Spans of each text as (start, kind, end, where the secret begins), sorted; added ones overlap no base span."""
         out = [base_spans(t) for t in texts]
-        spans = [[m.span() for m in TOKEN.finditer(t)] for t in texts]
-        held = [i for i, s in enumerate(spans) if s]
+        tokens = [TOKEN.findall(t) for t in texts]
+        held = [i for i, s in enumerate(tokens) if s]
         if not held:
             return out
-        lengths = [len(spans[i]) for i in held]
-        at, tag = self.decode(self.emissions([texts[i] for i in held], [spans[i] for i in held]), lengths)
+        lengths = [len(tokens[i]) for i in held]
+        at, tag = self.decode(self.emissions([texts[i] for i in held], [tokens[i] for i in held]), lengths)
         start = np.cumsum([0, *lengths])
-        now = None
-        found = []
+        spans, now, found = {}, None, []
         for k, y in zip(at[tag > 0].tolist(), tag[tag > 0].tolist()):
             doc = int(np.searchsorted(start, k, side="right")) - 1
-            a, b = spans[held[doc]][k - int(start[doc])]
+            if doc not in spans:
+                spans = {doc: [m.span() for m in TOKEN.finditer(texts[held[doc]])]}
+            a, b = spans[doc][k - int(start[doc])]
             if y == 2 and now and now[3] == k - 1 and now[0] == held[doc]:
                 now[2], now[3] = b, k
             else:

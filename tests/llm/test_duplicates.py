@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from chronolith.llm import common, components, decontaminate, minhash_dedup, substring_dedup
@@ -137,26 +139,75 @@ def test_contamination(spark):
             text[20:20] = [f"{w}," for w in part]
             want.add((d, i))
         docs.append((d, " ".join(text)))
-    docs += [(100, "exactly two, WORDS here"), (101, None), (102, ""), (None, items[0][1])]
-    want |= {(100, 90), (None, 0)}
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs += [(100, "exactly two, WORDS here"), (101, None), (102, ""), (None, items[0][1]), (103, f"{items[3][1]} {items[3][1]}"), (103, items[3][1])]
+    docs += [(104, " ".join(rng.choices(words, k=40_000)) + " " + items[7][1])]
+    want |= {(None, 0), (103, 3), (104, 7)}
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([(*i, "y") for i in items], "item_id long, text string, doc_id string")
     found = decontaminate.contaminated(df, bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == want and min(r["similarity"] for r in found) >= 0.8
-    assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
+    assert next(r["first_word"] for r in found if r["doc_id"] == 103) == 0  # of equal windows the first
+    assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 == decontaminate.contaminated(df.limit(0), bench).count()
     assert {r["doc_id"] for r in decontaminate.decontaminate(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
 def test_every_fingerprint_in_the_radius_is_found():
     index = decontaminate.Index([(i, " ".join(f"u{i}x{j}" for j in range(24))) for i in range(50)])
-    group = index.groups[5, 20]
+    group = index.groups[20]
     rng = random.Random(6)
+    prints = []
     for _ in range(300):
-        p = int(group["prints"][rng.randrange(50)])
+        p = int(group.prints[rng.randrange(50)])
         for bit in rng.sample(range(64), rng.randrange(0, 30)):
             p ^= 1 << bit
-        near = {k for k, q in enumerate(group["prints"]) if (int(q) ^ p).bit_count() <= decontaminate.RADIUS}
-        assert set(index.near(group, p)) == near
+        prints.append(p)
+    near = {(i, k) for i, p in enumerate(prints) for k, q in enumerate(group.prints) if (int(q) ^ p).bit_count() <= decontaminate.RADIUS}
+    place, item = group.near(np.array(prints, np.uint64))
+    assert set(zip(place.tolist(), item.tolist())) == near
+    # the index selects: few random fingerprints share a listed block value with an item
+    listed = np.diff(group.starts)[(np.random.default_rng(1).integers(0, 1 << 64, 5_000, dtype=np.uint64).view(np.uint16).reshape(-1, 4) + decontaminate._TABLE)]
+    assert listed.sum() / 5_000 / 50 < 0.05
+
+
+def test_windows_against_brute_force():
+    """All windows and items: fingerprints bit by bit in Python integers, similarity from Counters of word tuples."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choices(words, k=rng.choice([5, 9, 30, 33, 61])))) for i in range(12)]
+    texts = []
+    for i in range(40):
+        part = items[i % 12][1].split()
+        for _ in range(rng.randrange(3)):
+            part[rng.randrange(len(part))] = "other"
+        texts.append(" ".join(rng.choices(words, k=rng.randrange(20)) + part + rng.choices(words, k=rng.randrange(20))))
+    index = decontaminate.Index(items)
+    hashed = {}
+
+    def bag(own):
+        grams = [tuple(own[i : i + 5]) for i in range(len(own) - 4)]
+        for g, h in zip(grams, decontaminate.shingles(index.words(" ".join(own))).tolist()):
+            hashed[g] = h
+        return grams
+
+    def simhash(grams):
+        return sum((2 * sum(hashed[g] >> b & 1 for g in grams) >= len(grams)) << b for b in range(64))
+
+    want = []
+    for text in texts:
+        own, best = text.split(), {}
+        grams = bag(own)
+        for item, of in items:
+            theirs = bag(of.split())
+            size, width = len(theirs), decontaminate.rounded(len(theirs))
+            ours = simhash(theirs[:width])
+            for p in range(len(grams) - size + 1):
+                if (simhash(grams[p : p + width]) ^ ours).bit_count() <= decontaminate.RADIUS:
+                    a, b = Counter(grams[p : p + size]), Counter(theirs)
+                    sim = (a & b).total() / (a | b).total()
+                    if sim >= 0.8 and (item not in best or (-sim, p) < (-best[item][0], best[item][1])):
+                        best[item] = (sim, p, size + 4)
+        want.append(best)
+    assert index.search(texts) == want and sum(map(len, want)) > 12
 
 
 def test_materialize_and_discard(spark):
