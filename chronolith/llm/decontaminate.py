@@ -1,7 +1,7 @@
 """Benchmark decontamination: passages of documents that are copies, exact or near, of a benchmark's items.
 
 A SimHash fingerprint is taken of each item, over its weighted word shingles, and of every window of an item's size
-in every document. Sizes are rounded down by at most a twelfth (to 24 shingles not at all), so that their number grows
+in every document. Sizes are rounded down by less than an eighth (to 16 shingles not at all), so that their number grows
 with the logarithm of the longest item; an item is fingerprinted from its first shingle over such a size. A multi-index
 of Hamming blocks finds the items of that size within RADIUS bits: two fingerprints that differ in no more bits differ
 in at most BLOCK_BITS_OFF in one of the BLOCKS at least, and every value of a block is listed with the items within that
@@ -39,6 +39,7 @@ WORDS_AT_ONCE, WINDOWS_AT_ONCE = 200_000, 16_384
 _STEP = np.random.default_rng(77).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFF = np.array([sum(1 << b for b in bits) for n in range(BLOCK_BITS_OFF + 1) for bits in combinations(range(16), n)], np.uint16)
 _TABLE = np.arange(BLOCKS) << 16
+_TABLES = np.tile(_TABLE, WINDOWS_AT_ONCE)
 _MARKS = re.compile(r"[\W_]+")
 
 
@@ -74,8 +75,8 @@ def shingles(words: np.ndarray) -> np.ndarray:
 def rounded(size: int) -> int:
     """The size of the windows for items of size shingles."""
     own = 1
-    while own + max(1, own // 12) <= size:
-        own += max(1, own // 12)
+    while own + max(1, own // 8) <= size:
+        own += max(1, own // 8)
     return own
 
 
@@ -90,7 +91,7 @@ def sums(hashes: np.ndarray, width: int) -> np.ndarray:
 def fingerprints(total: np.ndarray, width: int) -> np.ndarray:
     """SimHash of each width consecutive rows of sums: each bit by the majority of the shingles, ties 1."""
     ones = total[width:] - total[:-width]
-    return np.packbits((ones >= total.dtype.type((width + 1) // 2)).ravel()).view(np.uint64)
+    return np.packbits(np.greater_equal(ones, total.dtype.type((width + 1) // 2), out=ones.view(bool) if ones.itemsize == 1 else None).ravel()).view(np.uint64)
 
 
 def similarity(a: np.ndarray, b: Counter) -> float:
@@ -115,29 +116,24 @@ class Group:
             starts.append(np.cumsum(np.bincount(near, minlength=1 << 16)) + starts[-1][-1])
             items.append(order // len(_OFF))
         # of every value of every block: the place of its list of items, and whether it has one
-        self.starts, self.listed_items = np.concatenate(starts).astype(np.int32), np.concatenate(items).astype(np.int32)
+        self.starts, self.listed_items = np.concatenate(starts), np.concatenate(items).astype(np.int32)
         self.listed = np.diff(self.starts) > 0
         return self
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in prints, item number) of the pairs within RADIUS, in order."""
-        slots = (prints.view(np.uint16).reshape(-1, BLOCKS) + _TABLE).ravel()
+        slots = prints.view(np.uint16).astype(np.int64)
+        slots += np.resize(_TABLE, len(slots)) if len(slots) > len(_TABLES) else _TABLES[: len(slots)]
         at = np.flatnonzero(self.listed.take(slots))
         slot = slots.take(at)
-        at //= BLOCKS
-        first, end = self.starts.take(slot), self.starts.take(slot + 1)
-        own, found = prints.take(at), []
-        while len(at):
-            item = self.listed_items.take(first)
-            good = np.flatnonzero(np.bitwise_count(own ^ self.prints.take(item)) <= RADIUS)
-            if len(good):
-                found.append(at[good] * len(self.items) + item[good])
-            first += 1
-            more = np.flatnonzero(first < end)
-            at, first, end, own = at.take(more), first.take(more), end.take(more), own.take(more)
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.divmod(np.unique(np.concatenate(found)), len(self.items))
+        first = self.starts.take(slot)
+        size = self.starts.take(slot + 1) - first
+        stop = np.cumsum(size)
+        item = self.listed_items.take(np.repeat(first - stop + size, size) + np.arange(stop[-1] if len(stop) else 0))
+        apart = np.bitwise_count(np.repeat(prints.take(at // BLOCKS), size) ^ self.prints.take(item))
+        good = np.flatnonzero(apart <= RADIUS)
+        place = at.take(np.searchsorted(stop, good, side="right")) // BLOCKS
+        return np.divmod(np.unique(place * len(self.items) + item.take(good)), len(self.items))
 
 
 class Index:
