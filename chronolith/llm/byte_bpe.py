@@ -14,11 +14,11 @@ import struct
 from array import array
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, tool
+from .common import release, slices, table, tool
 
 #: Entries of the cache of pre-tokens in a worker; it is emptied when full.
 CACHE = 200_000
@@ -142,14 +142,14 @@ def encode_texts(docs: DataFrame, data: bytes, pattern: str, *, with_ids: bool =
     shared = docs.sparkSession.sparkContext.broadcast(data)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sys
 
         own = codec(shared.value, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out = []
-            for text in batch["text"]:
-                raw = own.encode(text or "")
+            for text in batch.column("text"):
+                raw = own.encode(text.as_py() or "")
                 ids = array("I", raw)
                 if sys.byteorder == "big":
                     ids.byteswap()
@@ -157,11 +157,11 @@ def encode_texts(docs: DataFrame, data: bytes, pattern: str, *, with_ids: bool =
                     ids.byteswap()
                 row = len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()
                 out.append((*row, raw) if with_ids else row)
-            frame = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
-            frame.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy(dtype=object))
-            yield frame
+            kinds = [pa.int64(), pa.string(), pa.string()] + [pa.binary()] * with_ids
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+        release()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def op7_byte_bpe(spark, sf_dir):

@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +108,16 @@ def tool(name: str, key, build: Callable):
     return held["value"]
 
 
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Views of a batch's rows with about limit bytes of text each, so that what is made of them at once is bounded."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right"))
+        yield batch.slice(at, max(end, at + 1) - at)
+        at = max(end, at + 1)
+
+
 def text_udf(name: str, key, build: Callable, run: Callable, kind: str):
     """An Arrow UDF: run(tool, texts) gives an Arrow array of kind for each Arrow array of texts. Only the text goes to
     Python and only the result comes back. It counts as nondeterministic so that no plan evaluates it twice."""

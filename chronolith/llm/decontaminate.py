@@ -1,7 +1,7 @@
 """Benchmark decontamination: passages of documents that are copies, exact or near, of a benchmark's items.
 
 A SimHash fingerprint is taken of each item, over its weighted word shingles, and of every window of an item's size
-in every document. Sizes are rounded down by less than an eighth (to 16 shingles not at all), so that their number grows
+in every document. Sizes are rounded down by less than a sixth (to 12 shingles not at all), so that their number grows
 with the logarithm of the longest item; an item is fingerprinted from its first shingle over such a size. A multi-index
 of Hamming blocks finds the items of that size within RADIUS bits: two fingerprints that differ in no more bits differ
 in at most BLOCK_BITS_OFF in one of the BLOCKS at least, and every value of a block is listed with the items within that
@@ -47,11 +47,11 @@ class Words:
     """64-bit hashes of the words of texts, lower-cased and without marks; tokens of marks only are no words."""
 
     def __init__(self):
-        import xxhash
+        from xxhash import xxh3_64_intdigest as digest
 
         def hashed(word: str) -> int:
             plain = word if word.isalnum() else _MARKS.sub("", word)
-            return xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) | 1 if plain else 0
+            return digest(plain) | 1 if plain else 0
 
         self.known = Known(hashed)
 
@@ -75,8 +75,8 @@ def shingles(words: np.ndarray) -> np.ndarray:
 def rounded(size: int) -> int:
     """The size of the windows for items of size shingles."""
     own = 1
-    while own + max(1, own // 8) <= size:
-        own += max(1, own // 8)
+    while own + max(1, own // 6) <= size:
+        own += max(1, own // 6)
     return own
 
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, release, slices, table
 from .components import connected_components
 
 COORDINATES, MATCH = 64, 38
@@ -102,7 +102,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
         import pyarrow as pa
 
         own = Shingler(shingle)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             n, digests, sigs = [], [], []
             for text in batch.column("text"):
                 s = own(text.as_py())
@@ -110,6 +110,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sigs.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "digest", "sig"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig array<int>")
 
@@ -121,8 +122,9 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
         import pyarrow as pa
 
         own = Shingler(shingle)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([own(t.as_py()).view(np.int64) for t in batch.column("text")], pa.list_(pa.int64()))], ["doc_id", "shingles"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
