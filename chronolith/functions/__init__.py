@@ -124,9 +124,23 @@ def is_specific(step: Column) -> Column:
     return ~step.startswith("[") & (step != "type:field")
 
 
-_DANGER = "send post delete remove buy pay submit publish purchase order checkout transfer confirm book"
+#: Verbs that make a control's label a destructive one when it begins with them.
+DESTRUCTIVE_VERBS = (
+    "send", "post", "publish", "share", "connect", "delete", "remove", "pay", "buy", "submit", "confirm", "transfer",
+    "archive", "discard", "checkout", "purchase", "withdraw", "tweet", "invite", "follow", "apply",
+)
+#: Names of roles that mean the same.
+ROLE_NAMES = {"axbutton": "button", "axtextfield": "textbox", "axstatictext": "text"}
 
 
 def is_destructive(label: Column) -> Column:
     plain = F.lower(F.regexp_replace(clean_name(label), r"\s+", " "))
-    return plain.rlike(rf"^({'|'.join(_DANGER.split())})\b")
+    return plain.rlike(rf"^({'|'.join(DESTRUCTIVE_VERBS)})\b")
+
+
+def role_matches(found: Column, wanted: Column) -> Column:
+    """Whether a role is the wanted one, under any of its names; an empty wanted role fits every role."""
+    names = F.create_map(*[F.lit(x) for pair in ROLE_NAMES.items() for x in pair])
+    plain = lambda c: F.trim(F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    same = lambda c: F.coalesce(names[plain(c)], plain(c))
+    return (F.coalesce(wanted, F.lit("")) == "") | (same(found) == same(wanted))

@@ -55,12 +55,28 @@ def specific(grams: DataFrame, least: int = 2) -> DataFrame:
 
 
 def maximal(grams: DataFrame) -> DataFrame:
-    """grams without those whose text is contained in the text of a longer one with the same count; of texts that
-    are equal the one seen first stays."""
+    """grams without those whose text is contained in the text of a longer one with the same count (or of one as long
+    that was seen before). No step's own name may hold the arrow that joins steps.
+
+    An n-gram that is a run of a longer one with the same count is also a run of some n-gram with one step more and
+    that count, so it is looked up among the two runs of each n-gram that lack one end. A text may else lie across
+    steps: its first step is the end of another step, or its last the beginning of one. Few steps are such ends; their
+    n-grams are held against those that share the count and the steps after the first."""
     g = grams.withColumn("sig", F.array_join("gram", JOIN))
-    other = g.select(F.col("cnt").alias("c2"), F.col("sig").alias("s2"), F.col("n").alias("n2"), F.col("first").alias("f2"))
-    inside = (F.col("cnt") == F.col("c2")) & F.col("s2").contains(F.col("sig")) & ((F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("f2") < F.col("first"))))
-    return g.join(other, inside, "left_anti")
+    less = F.col("n").cast("int") - 1
+    runs = g.where("n > 1").select("cnt", F.explode(F.array(F.slice("gram", F.lit(1), less), F.slice("gram", F.lit(2), less))).alias("gram")).distinct()
+    alive = g.join(runs, ["cnt", "gram"], "left_anti")
+    names = g.select(F.explode(F.array_distinct("gram")).alias("step")).distinct()
+    cuts = names.where(F.length("step") > 1).select("step", F.explode(F.sequence(F.lit(1), F.length("step") - 1)).alias("k"))
+    tails = cuts.select(F.expr("substring(step, k + 1)").alias("step")).distinct().join(names, "step", "left_semi")
+    heads = cuts.select(F.expr("substring(step, 1, k)").alias("step")).distinct().join(names, "step", "left_semi")
+    loose = alive.withColumn("step", F.get("gram", F.lit(0))).join(tails, "step", "left_semi").unionByName(alive.withColumn("step", F.element_at("gram", -1)).join(heads, "step", "left_semi")).drop("step")
+    middle = F.slice("gram", F.lit(2), F.least(F.greatest(F.col("n").cast("int") - 2, F.lit(0)), F.lit(2)))
+    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.slice("gram", i, k))))
+    other = g.select("cnt", F.col("sig").alias("s2"), F.col("n").alias("n2"), F.col("first").alias("f2"), F.explode(F.array_distinct(parts)).alias("middle"))
+    inside = F.col("s2").contains(F.col("sig")) & ((F.col("n2") > F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("f2") < F.col("first"))))
+    lost = loose.withColumn("middle", middle).join(other, ["cnt", "middle"]).where(inside).select("cnt", "gram").distinct()
+    return alive.join(lost, ["cnt", "gram"], "left_anti").select("gram", "n", "cnt", "first", "sig")
 
 
 def coverage_h(sessions: DataFrame, grams: DataFrame) -> DataFrame:
@@ -85,16 +101,29 @@ def holdout(sessions: DataFrame, train_days: int, **args) -> tuple[DataFrame, Da
     return ranked.where(F.col("r") <= train_days).drop("day", "r"), ranked.where(F.col("r") > train_days).drop("day", "r")
 
 
-def replay_scripts(grams: DataFrame) -> DataFrame:
-    """sig, script: one line for each step (type, navigate for what has a slash, else click)."""
-    line = F.transform("gram", lambda s: F.when(s.startswith("type:"), F.concat(F.lit("type "), F.substring(s, 6, 1000), F.lit(" <value>"))).when(s.contains("/"), F.concat(F.lit("navigate "), s)).otherwise(F.concat(F.lit("click "), s)))
-    return grams.select(F.array_join("gram", JOIN).alias("sig"), "n", "cnt", F.array_join(line, "\n").alias("script"))
+#: Tokens of a picture of the screen, of the context and of the reasoning of one step.
+SCREEN_TOKENS = {"conservative_1280x800": 1280 * 800 // 750, "typical_1512x982": 1512 * 982 // 750, "retina_1728x1117": 1728 * 1117 // 750}
+CONTEXT_TOKENS, REASON_TOKENS = 350, 180
+
+
+def script_lines(gram):
+    """A line for each step: type, click (what is bracketed or has no slash), else navigate."""
+    step = lambda s: F.when(s.startswith("type:"), F.concat(F.lit("type "), F.substring(s, 6, 1 << 30), F.lit(" <value>"))).when(s.startswith("[") | ~s.contains("/"), F.concat(F.lit("click "), s)).otherwise(F.concat(F.lit("navigate "), s))
+    return F.array_join(F.transform(gram, step), "\n")
+
 
+def replay_scripts(grams: DataFrame, granularity: str = "action") -> DataFrame:
+    """sig, n, cnt, script: a head line with the granularity, how often and how long, then the lines of the steps."""
+    head = F.concat(F.lit(f"# routine ({granularity}), "), F.col("cnt").cast("string"), F.lit("x, "), F.col("n").cast("string"), F.lit(" steps\n"))
+    return grams.select(F.array_join("gram", JOIN).alias("sig"), "n", "cnt", F.concat(head, script_lines(F.col("gram"))).alias("script"))
 
-def overhead(scripts: DataFrame, screen_tokens: int = 1979, per_step: int = 530) -> DataFrame:
-    """sig, n, cnt, script_tokens, ratio: tokens of looking at the screen at each step over those of the script."""
+
+def overhead(scripts: DataFrame) -> DataFrame:
+    """sig, n, cnt, script_tokens, ratio (typical screen), conservative, retina: tokens of looking at the screen at each
+    step over those of the script, to one decimal."""
     t = tokens(F.col("script"))
-    return scripts.select("sig", "n", "cnt", t.alias("script_tokens"), (F.col("n") * (screen_tokens + per_step) / F.greatest(t, F.lit(1))).alias("ratio"))
+    by = lambda screen: F.round(F.col("n") * (SCREEN_TOKENS[screen] + CONTEXT_TOKENS + REASON_TOKENS) / F.greatest(t, F.lit(1)), 1)
+    return scripts.select("sig", "n", "cnt", t.alias("script_tokens"), by("typical_1512x982").alias("ratio"), by("conservative_1280x800").alias("conservative"), by("retina_1728x1117").alias("retina"))
 
 
 def nearest_rank(values: str, percent: float):
@@ -119,21 +148,31 @@ def ratio_bands(ratios: DataFrame) -> DataFrame:
     return ratios.groupBy(band(F.col("n")).alias("band")).agg(F.count("*").alias("n_routines"), F.expr("percentile(ratio, 0.5)").alias("median"))
 
 
-def three_arm_cost(ratios: DataFrame, in_price: float = 3e-6, out_price: float = 15e-6, out_tokens: int = 180, first_screen: int = 1979) -> DataFrame:
-    """Modeled cost of all occurrences: with a screen at each step, with the plan alone, with the plan and one screen."""
-    arms = {
-        "vision": F.col("n") * (first_screen + 350) * in_price + F.col("n") * out_tokens * out_price,
-        "replay": F.col("script_tokens") * in_price,
-        "guarded": (F.col("script_tokens") + first_screen) * in_price + out_tokens * out_price,
-    }
-    one = ratios.agg(*[F.sum(cost * F.col("cnt")).alias(k) for k, cost in arms.items()])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("arm"), F.col(k).alias("dollars"), (1 - F.col(k) / F.col("vision")).alias("saved")) for k in arms])))
+#: Fixed values of the cost model: dollars a token in and out, the share of tokens that go out, tokens of a step, the
+#: share of steps that an agent with a plan still looks at.
+IN_PRICE, OUT_PRICE, OUT_SHARE, STEP_TOKENS, STILL_SEEN = 3e-6, 15e-6, 0.07, 2509, 0.15
+
+
+def three_arm_cost(plans: DataFrame, guard_coverage: float) -> DataFrame:
+    """arm, tokens, dollars, saved_pct over all occurrences of plans (n, cnt, plan_tokens): without memory, with the plan
+    in the prompt, and local replay that falls back to the first where no guard holds."""
+    lost = max(0.0, 1.0 - guard_coverage)
+    a = F.col("n") * STEP_TOKENS
+    arms = {"rederive": a.cast("double"), "inject": F.bround(F.col("plan_tokens") + a * STILL_SEEN, 0), "replay": F.bround((1 - lost) * F.col("plan_tokens") + lost * a, 0)}
+    one = plans.agg(*[F.sum(tokens_ * F.col("cnt")).alias(k) for k, tokens_ in arms.items()])
+    price = (1 - OUT_SHARE) * IN_PRICE + OUT_SHARE * OUT_PRICE
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("arm"), F.col(k).alias("tokens"), F.round(F.col(k) * price, 2).alias("dollars"), F.round(100 * (1 - F.col(k) / F.col("rederive")), 1).alias("saved_pct")) for k in arms])))
 
 
-def fingerprint(ratios: DataFrame) -> DataFrame:
-    """sha256 of the sorted (sig, script_tokens): equal for equal results."""
-    rows = F.sort_array(F.collect_list(F.concat_ws("=", "sig", F.col("script_tokens").cast("string"))))
-    return ratios.agg(F.sha2(F.array_join(rows, "\n"), 256).alias("sha256"))
+def fingerprint(grams: DataFrame) -> DataFrame:
+    """sha256 of a JSON list of the routines with their ratio, tokens and occurrences, by length and text: equal for
+    equal results. The list has a row for each distinct routine and is one value."""
+    den = tokens(script_lines(F.col("gram")))
+    ratio = F.round(F.col("n") * (SCREEN_TOKENS["typical_1512x982"] + CONTEXT_TOKENS + REASON_TOKENS) / den, 3)
+    sig = F.array_join("gram", JOIN)
+    row = F.concat(F.lit('{"R": '), ratio.cast("string"), F.lit(', "den": '), den.cast("string"), F.lit(', "occ": '), F.col("cnt").cast("string"), F.lit(', "sig": "'), F.replace(F.replace(sig, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"}'))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("n", sig.alias("sig"), row.alias("row")))), lambda x: x["row"])
+    return grams.agg(F.sha2(F.concat(F.lit("["), F.array_join(rows, ", "), F.lit("]")), 256).alias("sha256"))
 
 
 def shuffled_null(sessions: DataFrame, rounds: int = 20, seed: int = 1729, **args) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import screen_zone
 
-SCREENS = ((1512, 982), (1728, 1117), (1440, 900), (1920, 1080))
+#: Screen sizes in the order in which they are tried.
+SCREENS = ((1728, 1117), (2560, 1440), (1920, 1080), (1512, 982))
 
 
 def _area():

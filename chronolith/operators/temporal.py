@@ -1,7 +1,8 @@
 """The temporal kernel: gaps and islands, the flicker fold, as-of and nearest joins.
 
-Windows are partitioned by (device, day) or (device, block), never by device alone: a block ends at a gap longer
-than the session gap, which nothing in a session crosses, so a device with a long history is many tasks.
+No window is over a device or a session: rows are ordered in buckets of an hour of a device, runs in buckets of a fixed
+number of runs, and what a bucket needs of those before and after it is carried over by a table of one row for each
+bucket. So a stream that never pauses is as many tasks as it has hours.
 """
 
 from __future__ import annotations
@@ -11,43 +12,49 @@ from pyspark.sql import functions as F
 
 from ..params import DEFAULT, Params
 
-DAY = 86_400_000_000
+HOUR = 3_600_000_000
+#: Runs in a bucket of the flicker fold.
+RUNS = 4096
 
 
-def _day(ts: str = "ts_us"):
-    return F.floor(F.col(ts) / DAY).cast("long")
+def _hour(ts: str = "ts_us"):
+    return F.floor(F.col(ts) / HOUR).cast("long")
 
 
-def block_split(frames: DataFrame, gap: int) -> DataFrame:
-    """frames with previous (ts_us of the row before on the device, null on the first) and block (from 0, up by one
-    after each gap longer than gap). Ties in ts_us go by id."""
-    rows = frames.withColumn("day", _day())
-    w = Window.partitionBy("device", "day").orderBy("ts_us", "id")
-    rows = rows.withColumn("previous", F.lag("ts_us").over(w)).withColumn("inner", F.sum(F.when(F.col("ts_us") - F.col("previous") > gap, 1).otherwise(0)).over(w))
-    days = rows.groupBy("device", "day").agg(F.min("ts_us").alias("first"), F.max("ts_us").alias("last"), F.max("inner").alias("breaks"))
-    d = Window.partitionBy("device").orderBy("day")
-    days = days.withColumn("before", F.lag("last").over(d))
-    edge = F.when(F.col("first") - F.col("before") > gap, 1).otherwise(0)
-    days = days.withColumn("edge", edge)
-    days = days.withColumn("base", F.sum(F.col("edge") + F.col("breaks")).over(d.rowsBetween(Window.unboundedPreceding, 0)) - F.col("breaks"))
-    rows = rows.join(days.select("device", "day", "before", "base"), ["device", "day"])
-    return rows.withColumn("previous", F.coalesce("previous", "before")).withColumn("block", F.col("base") + F.col("inner")).drop("day", "inner", "before", "base")
-
-
-def with_dwell(frames: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """block_split with dwell (the gap to the next row, at most the cap, 0 over a session gap or at the end) and
-    capped (the cap took something)."""
-    rows = block_split(frames, p.session_gap)
-    gap = F.lead("ts_us").over(Window.partitionBy("device", "block").orderBy("ts_us", "id")) - F.col("ts_us")
-    return rows.withColumn("dwell", F.when(gap.isNotNull(), F.least(gap, F.lit(p.dwell_cap))).otherwise(F.lit(0))).withColumn("capped", F.coalesce(gap > p.dwell_cap, F.lit(False)))
+def raw_frames(frames: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """frames with previous (ts_us of the row before on the device, null on the first), block (from 0, up by one after
+    each gap longer than the session gap), dwell (the gap to the next row, at most the cap, 0 over a session gap or at
+    the end), capped (the cap took something) and seg: the number on its device, from 1, of the run of one app and site
+    in one block that a row belongs to. Ties in ts_us go by id."""
+    gap = p.session_gap
+    w = Window.partitionBy("device", "hour").orderBy("ts_us", "id")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    row = F.struct("ts_us", "id", "app", "site")
+    breaks = lambda now, old: now["ts_us"] - old["ts_us"] > gap
+    turns = lambda now, old: breaks(now, old) | ~now["app"].eqNullSafe(old["app"]) | ~now["site"].eqNullSafe(old["site"])
+    count = lambda flag: F.when(F.coalesce(flag, F.lit(False)), 1).otherwise(0)
+    rows = frames.withColumn("hour", _hour()).withColumn("row", row).withColumn("old", F.lag("row").over(w)).withColumn("next", F.lead("ts_us").over(w))
+    rows = rows.withColumn("b", F.sum(count(breaks(F.col("row"), F.col("old")))).over(so_far)).withColumn("t", F.sum(count(F.col("old").isNotNull() & turns(F.col("row"), F.col("old")))).over(so_far))
+    hours = rows.groupBy("device", "hour").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.max("b").alias("bs"), F.max("t").alias("ts"))
+    d = Window.partitionBy("device").orderBy("hour")
+    hours = hours.withColumn("before", F.lag("last").over(d)).withColumn("after", F.lead("first.ts_us").over(d))
+    hours = hours.withColumn("b0", count(breaks(F.col("first"), F.col("before")))).withColumn("t0", F.when(F.col("before").isNull(), 1).otherwise(count(turns(F.col("first"), F.col("before")))))
+    past = d.rowsBetween(Window.unboundedPreceding, 0)
+    hours = hours.select("device", "hour", F.col("before.ts_us").alias("before"), "after", (F.sum(F.col("b0") + F.col("bs")).over(past) - F.col("bs")).alias("b0"), (F.sum(F.col("t0") + F.col("ts")).over(past) - F.col("ts")).alias("t0"))
+    rows = rows.join(hours, ["device", "hour"]).withColumn("wait", F.coalesce("next", "after") - F.col("ts_us"))
+    dwell = F.when(F.col("wait") <= gap, F.least("wait", F.lit(p.dwell_cap))).otherwise(0)
+    return rows.select(
+        *frames.columns, F.coalesce("old.ts_us", "before").alias("previous"), (F.col("b0") + F.col("b")).alias("block"), dwell.alias("dwell"),
+        F.coalesce((F.col("wait") <= gap) & (F.col("wait") > p.dwell_cap), F.lit(False)).alias("capped"), (F.col("t0") + F.col("t")).alias("seg"),
+    )
 
 
-def raw_frames(frames: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """with_dwell and seg: the number within its block of the run of one app and site that a row belongs to."""
-    rows = with_dwell(frames, p)
-    w = Window.partitionBy("device", "block").orderBy("ts_us", "id")
-    same = F.col("app").eqNullSafe(F.lag("app").over(w)) & F.col("site").eqNullSafe(F.lag("site").over(w)) & F.lag("id").over(w).isNotNull()
-    return rows.withColumn("seg", F.sum(F.when(same, 0).otherwise(1)).over(w))
+def block_split(frames: DataFrame, gap: int) -> DataFrame:
+    """frames with previous and block, as in raw_frames."""
+    rows = frames
+    for c in ("app", "site"):
+        rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("string"))
+    return raw_frames(rows, Params(session_gap=gap)).select(*frames.columns, "previous", "block")
 
 
 def raw_segments(frames: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -59,31 +66,50 @@ def raw_segments(frames: DataFrame, p: Params = DEFAULT) -> DataFrame:
         F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.bool_or("capped").alias("capped"), F.min_by("previous", F.struct("ts_us", "id")).alias("previous"),
     )
     gap = F.expr("(start_us - previous) div 1000000").cast("string")
-    reason = F.when(F.col("previous").isNull(), "start").when(F.col("seg") > 1, "context_switch").otherwise(F.concat(F.lit("session_gap: "), gap, F.lit(f"s > {p.session_gap // 1_000_000}s")))
+    reason = F.when(F.col("previous").isNull(), "start").when(F.col("start_us") - F.col("previous") <= p.session_gap, "context_switch").otherwise(F.concat(F.lit("session_gap: "), gap, F.lit(f"s > {p.session_gap // 1_000_000}s")))
     return out.withColumn("break_reason", reason).drop("previous")
 
 
+def _with_neighbours(runs: DataFrame, before: int, after: int) -> DataFrame:
+    """runs with bucket, and copies (own is false) of the last runs of a bucket in the next one, of the first in the one before."""
+    bucket, at = F.floor(F.col("seg") / RUNS), F.col("seg") % RUNS
+    place = lambda shift, own, when: F.when(when, F.struct((bucket + shift).cast("long").alias("bucket"), F.lit(own).alias("own")))
+    places = F.array_compact(F.array(place(0, True, F.lit(True)), place(1, False, at >= RUNS - before), place(-1, False, at < after)))
+    return runs.withColumn("place", F.explode(places)).select("*", "place.*").drop("place")
+
+
+def _carried(runs: DataFrame, total, carry) -> DataFrame:
+    """runs (with bucket) with carried: of each bucket, carry over the totals of the buckets before it on the device."""
+    of = runs.groupBy("device", "bucket").agg(total.alias("total"))
+    w = Window.partitionBy("device").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return runs.join(of.select("device", "bucket", F.coalesce(carry("total").over(w), F.lit(0)).alias("carried")), ["device", "bucket"])
+
+
 def fold_flicker(raw: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """raw_segments with swallowed (a short visit between two runs of one app and site) and merged (the number
-    within its block of the segment it belongs to).
+    """raw_segments with swallowed (a short visit between two runs of one app and site) and merged (the number on its
+    device of the segment it belongs to).
 
-    A run may be folded if it lasts merge_flicker at most and the runs around it have the same app and site. In a
-    chain of such runs every other one is swallowed, which is the parity of their number so far.
+    A run may be folded if it lasts merge_flicker at most and the runs around it, in its block, have the same app and
+    site. In a chain of such runs every other one is swallowed, which is the parity of their number so far.
     """
-    w = Window.partitionBy("device", "block").orderBy("seg")
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
     if p.merge_flicker <= 0:
         return raw.withColumn("swallowed", F.lit(False)).withColumn("merged", F.col("seg"))
+    w = Window.partitionBy("device", "bucket").orderBy("seg")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     lead = lambda c, n: F.lead(c, n).over(w)
     ext = (
-        (lead("end_us", 1) - lead("start_us", 1) <= p.merge_flicker)
-        & F.col("app").eqNullSafe(lead("app", 2)) & F.col("site").eqNullSafe(lead("site", 2)) & lead("seg", 2).isNotNull()
+        (lead("end_us", 1) - lead("start_us", 1) <= p.merge_flicker) & (lead("block", 2) == F.col("block"))
+        & F.col("app").eqNullSafe(lead("app", 2)) & F.col("site").eqNullSafe(lead("site", 2))
     )
-    rows = raw.withColumn("ext", F.coalesce(ext, F.lit(False)))
-    rows = rows.withColumn("run", F.when(F.col("ext"), F.col("seg") - F.coalesce(F.max(F.when(~F.col("ext"), F.col("seg"))).over(past), F.lit(0))).otherwise(0))
-    rows = rows.withColumn("swallowed", F.coalesce(F.pmod(F.lag("run").over(w), F.lit(2)) == 1, F.lit(False)))
-    head = ~F.col("swallowed") & ~F.coalesce(F.lag("swallowed").over(w), F.lit(False))
-    return rows.withColumn("head", head).withColumn("merged", F.sum(F.when(F.col("head"), 1).otherwise(0)).over(past)).drop("ext", "run", "head")
+    runs = _with_neighbours(raw, 0, 2).withColumn("ext", F.coalesce(ext, F.lit(False))).where("own").drop("own")
+    solid = F.when(~F.col("ext"), F.col("seg"))
+    runs = _carried(runs, F.max(solid), F.max)
+    runs = runs.withColumn("run", F.when(F.col("ext"), F.col("seg") - F.greatest(F.coalesce(F.max(solid).over(so_far), F.lit(0)), "carried")).otherwise(0)).drop("bucket", "carried", "ext")
+    odd = lambda n: F.coalesce(F.lag("run", n).over(w) % 2 == 1, F.lit(False))
+    runs = _with_neighbours(runs, 2, 0).withColumn("swallowed", odd(1)).withColumn("head", ~F.col("swallowed") & ~odd(2)).where("own").drop("own", "run")
+    head = F.when(F.col("head"), 1).otherwise(0)
+    runs = _carried(runs, F.sum(head), F.sum)
+    return runs.withColumn("merged", F.sum(head).over(so_far) + F.col("carried")).drop("bucket", "carried", "head")
 
 
 def segments(frames: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -109,32 +135,32 @@ def framed(frames: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 def asof_contained(events: DataFrame, spans: DataFrame, columns: list[str]) -> DataFrame:
     """Each event (device, ts_us, id) with columns (as struct span) of the latest span of the device that starts no
-    later (of equal starts the greatest by columns), if that has not ended; other events are dropped. Spans are dealt to the days they touch."""
-    days = F.sequence(_day("start_us"), _day("end_us"))
-    s = spans.select("device", F.explode(days).alias("day"), "start_us", F.struct("start_us", "end_us", *columns).alias("span"))
-    s = s.select("device", "day", F.greatest("start_us", F.col("day") * DAY).alias("ts_us"), F.lit(0).alias("kind"), "span", F.lit(None).cast(events.schema).alias("event"))
-    e = events.select("device", _day().alias("day"), "ts_us", F.lit(1).alias("kind"), F.lit(None).cast(s.schema["span"].dataType).alias("span"), F.struct(*events.columns).alias("event"))
-    w = Window.partitionBy("device", "day").orderBy("ts_us", "kind", "span").rowsBetween(Window.unboundedPreceding, 0)
+    later (of equal starts the greatest by columns), if that has not ended; other events are dropped. Spans are dealt to the hours they touch."""
+    hours = F.sequence(_hour("start_us"), _hour("end_us"))
+    s = spans.select("device", F.explode(hours).alias("hour"), "start_us", F.struct("start_us", "end_us", *columns).alias("span"))
+    s = s.select("device", "hour", F.greatest("start_us", F.col("hour") * HOUR).alias("ts_us"), F.lit(0).alias("kind"), "span", F.lit(None).cast(events.schema).alias("event"))
+    e = events.select("device", _hour().alias("hour"), "ts_us", F.lit(1).alias("kind"), F.lit(None).cast(s.schema["span"].dataType).alias("span"), F.struct(*events.columns).alias("event"))
+    w = Window.partitionBy("device", "hour").orderBy("ts_us", "kind", "span").rowsBetween(Window.unboundedPreceding, 0)
     both = s.unionByName(e).withColumn("span", F.last("span", ignorenulls=True).over(w)).where("kind = 1")
     return both.where(F.col("span.end_us") >= F.col("ts_us")).select("event.*", "span")
 
 
 def nearest(events: DataFrame, frames: DataFrame, columns: list[str]) -> DataFrame:
     """Each event (device, ts_us, id) with frame (struct of ts_us, id and columns) nearest in time on its device, of
-    equally near ones the earlier; null if the device has no frame. Days are joined at their edges."""
-    f = frames.select("device", _day().alias("day"), F.struct("ts_us", "id", *columns).alias("frame"))
-    of_day = f.groupBy("device", "day").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
-    days = of_day.unionByName(events.select("device", _day().alias("day")).distinct(), allowMissingColumns=True).groupBy("device", "day").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    d = Window.partitionBy("device").orderBy("day")
-    days = days.select(
-        "device", "day", F.last("hi", ignorenulls=True).over(d.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("lo", ignorenulls=True).over(d.rowsBetween(1, Window.unboundedFollowing)).alias("after")
+    equally near ones the earlier; null if the device has no frame. Hours are joined at their edges."""
+    f = frames.select("device", _hour().alias("hour"), F.struct("ts_us", "id", *columns).alias("frame"))
+    of_hour = f.groupBy("device", "hour").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
+    hours = of_hour.unionByName(events.select("device", _hour().alias("hour")).distinct(), allowMissingColumns=True).groupBy("device", "hour").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    d = Window.partitionBy("device").orderBy("hour")
+    hours = hours.select(
+        "device", "hour", F.last("hi", ignorenulls=True).over(d.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("lo", ignorenulls=True).over(d.rowsBetween(1, Window.unboundedFollowing)).alias("after")
     )
     kind = f.schema["frame"].dataType
-    e = events.select("device", _day().alias("day"), "ts_us", F.lit(1).alias("kind"), F.lit(None).cast(kind).alias("frame"), F.struct(*events.columns).alias("event"))
-    p = f.select("device", "day", F.col("frame.ts_us").alias("ts_us"), F.lit(0).alias("kind"), "frame", F.lit(None).cast(e.schema["event"].dataType).alias("event"))
-    w = Window.partitionBy("device", "day").orderBy("ts_us", "kind", "frame")
+    e = events.select("device", _hour().alias("hour"), "ts_us", F.lit(1).alias("kind"), F.lit(None).cast(kind).alias("frame"), F.struct(*events.columns).alias("event"))
+    p = f.select("device", "hour", F.col("frame.ts_us").alias("ts_us"), F.lit(0).alias("kind"), "frame", F.lit(None).cast(e.schema["event"].dataType).alias("event"))
+    w = Window.partitionBy("device", "hour").orderBy("ts_us", "kind", "frame")
     both = p.unionByName(e).withColumn("back", F.last("frame", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("ahead", F.first("frame", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    both = both.where("kind = 1").join(days, ["device", "day"])
+    both = both.where("kind = 1").join(hours, ["device", "hour"])
     back, ahead = F.coalesce("back", "before"), F.coalesce("ahead", "after")
     both = both.select("event", back.alias("back"), ahead.alias("ahead"))
     pick = F.when(F.col("back").isNull(), F.col("ahead")).when(F.col("ahead").isNull(), F.col("back")).when(F.col("event.ts_us") - F.col("back.ts_us") <= F.col("ahead.ts_us") - F.col("event.ts_us"), F.col("back")).otherwise(F.col("ahead"))

@@ -29,7 +29,7 @@ def _clicks(spark, d):
     """Input events as clicks and texts on named elements."""
     e = sources._events(spark, d)
     return e.select(
-        "id", "ts_us", F.when(F.col("event_type") == "error", "text").otherwise("click").alias("event_type"), F.when(F.col("k") % 11 == 0, "group").otherwise(F.concat("event_type", F.lit("-"), (F.col("k") % 4).cast("string"))).alias("element_name"),
+        "id", "ts_us", F.when(F.col("event_type") == "error", "text").otherwise("click").alias("event_type"), F.when(F.col("k") % 11 == 0, "group").when(F.col("k") % 17 == 0, "scroll area").otherwise(F.concat("event_type", F.lit("-"), (F.col("k") % 4).cast("string"))).alias("element_name"),
         F.when(F.col("k") % 2 == 0, "Button").alias("element_role"), F.concat(F.lit("typed text "), (F.col("k") % 40).cast("string")).alias("text"), (F.col("k") % 3 != 0).alias("focused"), F.col("event_type").alias("app"),
     )
 
@@ -54,11 +54,19 @@ def _points(spark, d):
 
 def _spans(spark, d):
     s = temporal.segments(U(spark, d), SCALED)
-    return s.select(F.concat_ws("/", "device", F.col("start_us").cast("string")).alias("key"), "app", F.col("start_us").alias("lo_us"), (F.col("end_us") + 7_200_000_000).alias("hi_us"))
+    return s.select(F.concat_ws("/", "device", F.col("start_us").cast("string")).alias("key"), "device", "app", F.col("start_us").alias("lo_us"), (F.col("end_us") + 7_200_000_000).alias("hi_us"))
 
 
 def _step_events(spark, d):
-    return _clicks(spark, d).withColumn("x", F.lit(None).cast("int")).withColumn("y", F.lit(None).cast("int")).withColumn("frame_id", F.lit(None).cast("long")).withColumn("window", F.lit("w")).withColumn("url", F.concat(F.lit("https://"), "app", F.lit(".com/"), (F.col("id") % 2).cast("string")))
+    """Clicks of each user, some without an app, some of typed texts empty, roles with their prefix, some clicks with a
+    point on a frame's elements in place of a name."""
+    e = _clicks(spark, d).join(sources._events(spark, d).select("id", F.col("user_id").cast("string").alias("device"), "k"), "id")
+    k, lost = F.col("k"), (F.col("k") % 5 == 0) & (F.col("event_type") == "click")
+    return e.select(
+        "id", "ts_us", "device", "event_type", F.when(lost, "").otherwise(F.col("element_name")).alias("element_name"), F.concat(F.lit("AX"), "element_role").alias("element_role"), F.when(k % 10 == 0, "").otherwise(F.col("text")).alias("text"),
+        F.when(k % 13 != 0, F.col("app")).alias("app"), F.when(lost, F.col("id") * 37 % 1800).cast("int").alias("x"), F.when(lost, F.col("id") * 91 % 1117).cast("int").alias("y"), (F.col("device").cast("long") % 20).alias("frame_id"),
+        F.lit(" w ").alias("window"), F.concat(F.lit("https://"), "app", F.lit(".com/"), (F.col("id") % 2).cast("string")).alias("url"),
+    )
 
 
 def _urls(spark, d):
@@ -74,7 +82,7 @@ def _scalars(spark, d):
     return e.select(
         "id", ts_us(F.concat(iso, F.lit("+00:00"))).alias("parsed_us"), clean_name(name).alias("name"), decode_text(F.concat(F.lit("q;"), "event_type"), "azerty").alias("decoded"),
         slug(F.concat(F.lit("my-page_"), k.cast("string"), F.lit("%20x"))).alias("slug"), unquote(F.concat(F.lit("a+b%2Fc"), k.cast("string"))).alias("unquoted"), click_step(F.when(k % 3 == 0, F.lit(" Text ")).otherwise(F.col("event_type")), F.when(k % 2 == 0, F.lit("Link"))).alias("click_step"),
-        type_step(F.when(k % 2 == 0, F.col("event_type"))).alias("type_step"), is_specific(type_step(F.when(k % 2 == 0, F.col("event_type")))).alias("specific"), is_destructive(F.concat(F.when(k % 2 == 0, F.lit("Send ")).otherwise(F.lit("Sender ")), "event_type")).alias("destructive"),
+        type_step(F.when(k % 2 == 0, F.col("event_type"))).alias("type_step"), is_specific(type_step(F.when(k % 2 == 0, F.col("event_type")))).alias("specific"), is_destructive(F.concat(F.element_at(F.array(*map(F.lit, ("Send ", "Sender ", "Share ", "archive  ", "Order ", "Start a post "))), (k % 6 + 1)), "event_type")).alias("destructive"),
         tokens(F.col("event_type")).alias("tokens"), confidence(F.element_at(F.array(*map(F.lit, ("text", "click", "key"))), (k % 3 + 1)), F.element_at(F.array(*map(F.lit, ("native", "exact", "tolerance", "zone"))), (k % 4 + 1)), (k * 50)).alias("confidence"),
     )
 
@@ -168,12 +176,12 @@ def _stream(spark, d):
 
 
 def _steps(spark, d):
-    return steps.steps(_spans(spark, d), _step_events(spark, d)).select("key", "n", "op", "target", "role", "url", "text", "chars", "event_id", "resolved")
+    return steps.steps(_spans(spark, d), _step_events(spark, d), _elements(spark, d)).select("key", "n", "t", "op", "target", "role", "url", "text", "chars", "event_id", "resolved")
 
 
 def _find(spark, d):
     spans = _spans(spark, d)
-    return steps.find(steps.steps(spans, _step_events(spark, d)), spans, "the view")
+    return steps.find(steps.steps(spans, _step_events(spark, d), _elements(spark, d)), spans, "the view")
 
 
 def _enrich(spark, d):
@@ -222,8 +230,8 @@ def queries() -> dict:
         "overhead_ratio": lambda s, d: _ratios(s, d),
         "ratio_summary": lambda s, d: mining.ratio_summary(_ratios(s, d)),
         "ratio_bands": lambda s, d: mining.ratio_bands(_ratios(s, d)),
-        "three_arm_cost": lambda s, d: mining.three_arm_cost(_ratios(s, d)),
-        "determinism_fingerprint": lambda s, d: mining.fingerprint(_ratios(s, d)),
+        "three_arm_cost": lambda s, d: mining.three_arm_cost(_ratios(s, d).withColumnRenamed("script_tokens", "plan_tokens"), 0.75),
+        "determinism_fingerprint": lambda s, d: mining.fingerprint(mining.specific(_grams(s, d))),
         "routine_atlas": _atlas,
         "populated_rates": lambda s, d: views.populated_rates(s.read.parquet(f"{d}/documents.parquet"), ["doc_id", "text", "lang", "source"]),
         "click_hit_test": lambda s, d: b.hit_test(_points(s, d), _elements(s, d)).select("id", "target", "resolution", "zone"),
@@ -271,8 +279,8 @@ _USER = "CAST(user_id AS VARCHAR)"
 _WU = f"WITH {_ev(_USER)}, {_runs(SCALED)}, {_fold(SCALED)}"
 _WG = "WITH " + _ev("''") + f", {_runs(DEFAULT)}, {_fold(DEFAULT)}"
 _IN = f""", inp AS (SELECT event_id AS id, epoch_us(ts) + 1800000000 AS ts_us, {_USER} AS device, CASE event_type WHEN 'purchase' THEN 'text' WHEN 'signup' THEN 'click' WHEN 'error' THEN 'key' WHEN 'view' THEN 'clipboard' ELSE 'app_switch' END AS kind,
-  'text ' || regexp_extract(props, '\\d+') AS text, 'el' || regexp_extract(props, '\\d+') AS el FROM events WHERE event_id % 3 = 0)"""
-_CL = """cl AS (SELECT event_id AS id, epoch_us(ts) AS ts_us, CASE event_type WHEN 'error' THEN 'text' ELSE 'click' END AS kind, CASE WHEN k % 11 = 0 THEN 'group' ELSE event_type || '-' || (k % 4) END AS element_name,
+  'text ' || regexp_extract(props, '\\d+') AS text, 'el' || regexp_extract(props, '\\d+') AS el FROM events)"""
+_CL = """cl AS (SELECT event_id AS id, epoch_us(ts) AS ts_us, CASE event_type WHEN 'error' THEN 'text' ELSE 'click' END AS kind, CASE WHEN k % 11 = 0 THEN 'group' WHEN k % 17 = 0 THEN 'scroll area' ELSE event_type || '-' || (k % 4) END AS element_name,
   CASE WHEN k % 2 = 0 THEN 'Button' END AS element_role, 'typed text ' || (k % 40) AS text, k % 3 <> 0 AS focused, event_type AS app FROM (SELECT *, CAST(regexp_extract(props, '\\d+') AS INT) AS k FROM events))"""
 _PG = """pg0 AS (SELECT page_id AS id, 1704067200000000 + page_id * 60000000 AS ts_us, 'Browser' || (page_id % 2) AS app, 'w' || (page_id % 5) AS win, url, page_id % 7 <> 0 AS focused, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host,
   list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),
@@ -290,9 +298,9 @@ def _occ(src: str, longest: int) -> str:
 
 
 _SPEC = "len(list_filter(gram, lambda s: NOT starts_with(s, '[') AND s <> 'type:field')) >= 2"
-_GR = f"{_ST}, occ AS ({_occ('ses', 6)}), gr AS (SELECT gram, n, count(*) AS cnt FROM occ GROUP BY gram, n HAVING count(*) >= 3), sp AS (SELECT *, array_to_string(gram, ' -> ') AS sig FROM gr WHERE {_SPEC})"
+_GR = f"{_ST}, occ AS ({_occ('ses', 60)}), gr AS (SELECT gram, n, count(*) AS cnt FROM occ GROUP BY gram, n HAVING count(*) >= 3), sp AS (SELECT *, array_to_string(gram, ' -> ') AS sig FROM gr WHERE {_SPEC})"
 _MX = f"{_GR}, mx AS (SELECT * FROM sp WHERE NOT EXISTS (SELECT 1 FROM sp o WHERE o.cnt = sp.cnt AND o.n > sp.n AND contains(o.sig, sp.sig)))"
-_SC = f"{_MX}, sc AS (SELECT sig, n, cnt, array_to_string(list_transform(gram, lambda s: CASE WHEN starts_with(s, 'type:') THEN 'type ' || substr(s, 6) || ' <value>' WHEN contains(s, '/') THEN 'navigate ' || s ELSE 'click ' || s END), chr(10)) AS script FROM mx),\nrt AS (SELECT sig, CAST(n AS INT) AS n, cnt, CAST(greatest(1, length(script) // 4) AS INT) AS script_tokens FROM sc),\nov AS (SELECT *, n * 2509 / CAST(script_tokens AS DOUBLE) AS ratio FROM rt)"
+_SC = f"{_MX}, sc AS (SELECT sig, n, cnt, array_to_string(list_transform(gram, lambda s: CASE WHEN starts_with(s, 'type:') THEN 'type ' || substr(s, 6) || ' <value>' WHEN starts_with(s, '[') OR NOT contains(s, '/') THEN 'click ' || s ELSE 'navigate ' || s END), chr(10)) AS body, '# routine (action), ' || cnt || 'x, ' || n || ' steps' || chr(10) || body AS script FROM mx),\nrt AS (SELECT sig, CAST(n AS INT) AS n, cnt, CAST(greatest(1, length(script) // 4) AS INT) AS script_tokens FROM sc),\nov AS (SELECT *, round(n * 2509 / CAST(script_tokens AS DOUBLE), 1) AS ratio, round(n * 1895 / CAST(script_tokens AS DOUBLE), 1) AS conservative, round(n * 3103 / CAST(script_tokens AS DOUBLE), 1) AS retina FROM rt)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -311,12 +319,12 @@ def oracle_sql() -> dict[str, str]:
     o["top_windows_per_segment"] = f"{_WU}, q AS (SELECT m.device, m.mid, b.win, count(*) AS n, min(b.ts_us) AS t, min(b.id) AS i FROM b JOIN m USING (device, n) WHERE NOT m.sw GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY device, mid ORDER BY n DESC, t, i) AS rank FROM q) SELECT k.device, seg.start_us, CAST(rank AS INT) AS rank, win AS \"window\", k.n FROM k JOIN seg USING (device, mid) WHERE rank <= 3"
     hold = f"{_WU}{_IN}, j AS (SELECT inp.*, seg.start_us, seg.end_us FROM inp ASOF JOIN seg ON inp.device = seg.device AND inp.ts_us >= seg.start_us), own AS (SELECT * FROM j WHERE end_us >= ts_us)"
     o["input_asof"] = f"{hold} SELECT device, start_us, CAST(sum(CASE kind WHEN 'key' THEN 1 WHEN 'text' THEN length(text) ELSE 0 END) AS BIGINT) AS keys, count(*) FILTER (kind = 'click') AS clicks, count(*) FILTER (kind = 'clipboard') AS copies FROM own GROUP BY 1, 2"
-    few = _WU.replace("FROM events)", "FROM events WHERE user_id IN (1, 2, 3))", 1)
-    o["device_arbitration"] = f"""{few}{_IN}, e4 AS (SELECT id, ts_us FROM inp WHERE id % 4 = 0), dv AS (SELECT device, min(start_us) AS seen FROM seg GROUP BY 1), ed AS (SELECT e4.*, device, seen FROM e4, dv),
+    o["device_arbitration"] = f"""{_WU}{_IN}, e4 AS (SELECT id, ts_us FROM inp), dv AS (SELECT device, min(start_us) AS seen FROM seg GROUP BY 1), ed AS (SELECT e4.*, device, seen FROM e4, dv),
 j AS (SELECT ed.*, seg.start_us, seg.end_us FROM ed ASOF JOIN seg ON ed.device = seg.device AND ed.ts_us >= seg.start_us), c AS (SELECT * FROM j WHERE end_us >= ts_us),
 cap AS (SELECT b.ts_us, b.id, b.device FROM b JOIN m USING (device, n) WHERE NOT sw),
-nb AS (SELECT e4.id, arg_max(cap.device, (cap.ts_us, cap.id)) AS dev, max(cap.ts_us) AS t FROM e4 JOIN cap ON cap.ts_us <= e4.ts_us GROUP BY 1),
-na AS (SELECT e4.id, arg_min(cap.device, (cap.ts_us, cap.id)) AS dev, min(cap.ts_us) AS t FROM e4 JOIN cap ON cap.ts_us > e4.ts_us GROUP BY 1),
+c1 AS (SELECT ts_us AS t, arg_max(device, id) AS hi, arg_min(device, id) AS lo FROM cap GROUP BY 1),
+nb AS (SELECT e4.id, c1.hi AS dev, c1.t FROM e4 ASOF JOIN c1 ON e4.ts_us >= c1.t),
+na AS (SELECT e4.id, c1.lo AS dev, c1.t FROM e4 ASOF JOIN c1 ON e4.ts_us < c1.t),
 nr AS (SELECT e4.id, CASE WHEN nb.t IS NULL THEN na.dev WHEN na.t IS NULL OR e4.ts_us - nb.t <= na.t - e4.ts_us THEN nb.dev ELSE na.dev END AS near FROM e4 LEFT JOIN nb USING (id) LEFT JOIN na USING (id))
 SELECT id, device, start_us FROM (SELECT c.*, row_number() OVER (PARTITION BY c.id ORDER BY CASE WHEN device = near THEN 0 ELSE 1 END, seen, device) AS k FROM c JOIN nr USING (id)) WHERE k = 1"""
     near = f"WITH {_ev(_USER)}{_IN}"
@@ -328,7 +336,7 @@ SELECT pick.id, frame_id, ev.app FROM pick LEFT JOIN ev ON ev.id = frame_id"""
 SELECT id, frame_id, dt_us FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dt_us, t, frame_id DESC) AS k FROM c) WHERE k = 1"""
     o["url_typing"] = f"WITH {_PG} SELECT id AS page_id, kind, d AS domain, entity, array_to_string(string_split(d, '.')[-2:], '.') AS apex, CASE WHEN len(parts) > 0 THEN array_to_string(list_concat([host], parts[1:2]), '/') || '/*' ELSE host END AS template, array_to_string(parts, '|') AS parts FROM ty"
     o["scalar_functions"] = """SELECT event_id AS id, epoch_us(ts) AS parsed_us, event_type AS name, translate('q;' || event_type, 'qawzQAWZ;m,', 'aqzwAQZWm,;') AS decoded, 'my page ' || k || ' x' AS slug, 'a+b/c' || k AS unquoted,
-  CASE WHEN k % 3 = 0 THEN CASE WHEN k % 2 = 0 THEN '[Link]' ELSE '[el]' END ELSE event_type END AS click_step, 'type:' || CASE WHEN k % 2 = 0 THEN event_type ELSE 'field' END AS type_step, k % 2 = 0 AS specific, k % 2 = 0 AS destructive,
+  CASE WHEN k % 3 = 0 THEN CASE WHEN k % 2 = 0 THEN '[Link]' ELSE '[el]' END ELSE event_type END AS click_step, 'type:' || CASE WHEN k % 2 = 0 THEN event_type ELSE 'field' END AS type_step, k % 2 = 0 AS specific, k % 6 IN (0, 2, 3) AS destructive,
   CAST(greatest(1, length(event_type) // 4) AS INT) AS tokens, CASE k % 3 WHEN 0 THEN 'high' WHEN 1 THEN CASE k % 4 WHEN 0 THEN 'high' WHEN 1 THEN CASE WHEN k * 50 < 2000 THEN 'high' ELSE 'medium' END WHEN 2 THEN 'medium' ELSE 'low' END ELSE 'low' END AS confidence
 FROM (SELECT *, CAST(regexp_extract(props, '\\d+') AS INT) AS k FROM events)"""
     o["pages_per_segment"] = f"WITH {_PG}, sg AS (SELECT *, sum(CASE WHEN app = lag_app AND host = lag_host THEN 0 ELSE 1 END) OVER (ORDER BY ts_us, id) AS n FROM (SELECT *, lag(app) OVER (ORDER BY ts_us, id) AS lag_app, lag(host) OVER (ORDER BY ts_us, id) AS lag_host FROM ty)) SELECT kind, entity, count(*) AS n, count(DISTINCT n) AS segments FROM sg GROUP BY kind, entity"
@@ -349,54 +357,62 @@ SELECT w.*, greatest(c - 3, 0) AS titles_omitted, titles FROM w JOIN v USING (ki
     o["app_switching"] = f"WITH {_CL} {switch.format(t='cl')}"
     text = "SELECT text, count(*) AS n FROM cl WHERE kind = 'text' AND length(text) > 10 GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, text LIMIT 10"
     o["repeated_text"] = f"WITH {_CL} {text}"
-    habit = "SELECT element_name, count(*) AS days, CAST(sum(n) AS BIGINT) AS total FROM (SELECT ts_us // 86400000000 AS day, element_name, count(*) AS n FROM cl WHERE kind = 'click' GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, element_name LIMIT 10"
+    habit = "SELECT element_name, count(*) AS days, CAST(sum(n) AS BIGINT) AS total FROM (SELECT ts_us // 86400000000 AS day, element_name, count(*) AS n FROM cl WHERE kind = 'click' AND element_name NOT IN ('scroll area', 'group') GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, element_name LIMIT 10"
     o["daily_habits"] = f"WITH {_CL} {habit}"
     url_label = o["url_patterns"].partition(", u AS")[2]
     o["patterns_all"] = f"""{seq}, {_PG}, u AS{url_label.partition(' SELECT template')[0]}, up AS (SELECT template{url_label.partition(' SELECT template')[2]}),
 rc AS ({o['repeated_clicks'].partition(_CL)[2]}), sw AS ({switch.format(t='pg')}), tx AS ({text}), hb AS ({habit})
-SELECT 'repeated_click' AS kind, '''' || element_name || ''' (' || coalesce(element_role, '') || ')' AS label, n AS count FROM rc UNION ALL SELECT 'url_pattern', template || ' - ' || visits || ' visits, ' || urls || ' unique pages', visits FROM up
-UNION ALL SELECT 'action_sequence', sequence, count FROM sq UNION ALL SELECT 'app_switch', source || ' -> ' || target, n FROM sw UNION ALL SELECT 'repeated_text', text, n FROM tx UNION ALL SELECT 'daily_habit', element_name || ' on ' || days || ' days', total FROM hb"""
+SELECT 'repeated_click' AS kind, 'Clicked ''' || element_name || ''' (' || coalesce(element_role, '') || ') ' || n || 'x' AS label, n AS count FROM rc UNION ALL SELECT 'url_pattern', template || ' - ' || visits || ' visits, ' || urls || ' unique pages', visits FROM up
+UNION ALL SELECT 'action_sequence', sequence || ' (' || count || 'x)', count FROM sq UNION ALL SELECT 'app_switch', source || ' -> ' || target || ' - ' || n || ' transitions', n FROM sw UNION ALL SELECT 'repeated_text', 'Typed ' || n || 'x: "' || text || '"', n FROM tx UNION ALL SELECT 'daily_habit', '''' || element_name || ''' on ' || days || ' days, ' || total || 'x total', total FROM hb"""
     o["action_sessions"] = f"WITH {_ST} SELECT start_us, CAST(len(path) AS INT) AS n_steps, array_to_string(path, ' -> ') AS sig FROM ses"
     o["frequent_ngrams"] = f"WITH {_GR} SELECT array_to_string(gram, ' -> ') AS sig, n, cnt FROM gr"
     o["maximal_ngrams"] = f"WITH {_MX} SELECT sig, n, cnt FROM mx"
     cover = "(SELECT count(*) FROM (SELECT DISTINCT stream, blk, unnest(range(pos, pos + n)) FROM {occ} WHERE gram IN (SELECT gram FROM {sp}))) AS covered, (SELECT CAST(sum(len(path)) AS BIGINT) FROM {ses}) AS total"
     o["ngram_coverage"] = f"WITH {_GR} SELECT {cover.format(occ='occ', sp='sp', ses='ses')}"
     o["temporal_holdout"] = f"""WITH {_ST}, dd AS (SELECT *, dense_rank() OVER (ORDER BY start_us // 86400000000) AS r FROM ses), tr AS (SELECT * FROM dd WHERE r <= 10), te AS (SELECT * FROM dd WHERE r > 10),
-o1 AS ({_occ('tr', 5)}), o2 AS ({_occ('te', 5)}), sp AS (SELECT gram FROM o1 GROUP BY gram HAVING count(*) >= 3 AND {_SPEC})
+o1 AS ({_occ('tr', 60)}), o2 AS ({_occ('te', 60)}), sp AS (SELECT gram FROM o1 GROUP BY gram HAVING count(*) >= 3 AND {_SPEC})
 SELECT 'train' AS part, {cover.format(occ='o1', sp='sp', ses='tr')} UNION ALL SELECT 'test', {cover.format(occ='o2', sp='sp', ses='te')}"""
     o["replay_scripts"] = f"WITH {_SC.replace('FROM mx)', 'FROM sp)')} SELECT sig, script FROM sc"
-    o["overhead_ratio"] = f"WITH {_SC} SELECT sig, n, cnt, script_tokens, ratio FROM ov"
+    o["overhead_ratio"] = f"WITH {_SC} SELECT sig, n, cnt, script_tokens, ratio, conservative, retina FROM ov"
     rank = "list_sort(list(ratio))[CAST(round_even({q} * (count(*) - 1), 0) AS BIGINT) + 1]"
     o["ratio_summary"] = f"WITH {_SC} SELECT count(*) AS n_routines, median(ratio) AS median, {rank.format(q='0.25')} AS p25, {rank.format(q='0.75')} AS p75, min(ratio) AS lo, max(ratio) AS hi, sum(ratio * cnt) / sum(cnt) AS weighted FROM ov"
     o["ratio_bands"] = f"WITH {_SC} SELECT CASE WHEN n <= 4 THEN '3-4' WHEN n <= 8 THEN '5-8' WHEN n <= 15 THEN '9-15' ELSE '16+' END AS band, count(*) AS n_routines, median(ratio) AS median FROM ov GROUP BY 1"
-    o["three_arm_cost"] = f"""WITH {_SC}, t AS (SELECT sum((n * 2329 * 3e-6 + n * 180 * 15e-6) * cnt) AS v, sum(script_tokens * 3e-6 * cnt) AS p, sum(((script_tokens + 1979) * 3e-6 + 180 * 15e-6) * cnt) AS g FROM ov)
-SELECT 'vision' AS arm, v AS dollars, 1 - v / v AS saved FROM t UNION ALL SELECT 'replay', p, 1 - p / v FROM t UNION ALL SELECT 'guarded', g, 1 - g / v FROM t"""
-    o["determinism_fingerprint"] = f"WITH {_SC}, k AS (SELECT sig || '=' || script_tokens AS x FROM ov) SELECT sha256(string_agg(x, chr(10) ORDER BY x)) AS sha256 FROM k"
+    o["three_arm_cost"] = f"""WITH {_SC}, t AS (SELECT CAST(sum(n * 2509 * cnt) AS DOUBLE) AS a, sum(round_even(script_tokens + n * 2509 * 0.15::DOUBLE, 0) * cnt) AS b, sum(round_even(0.75::DOUBLE * script_tokens + 0.25::DOUBLE * n * 2509, 0) * cnt) AS c FROM ov),
+v AS (SELECT 'rederive' AS arm, a AS tokens, a FROM t UNION ALL SELECT 'inject', b, a FROM t UNION ALL SELECT 'replay', c, a FROM t)
+SELECT arm, tokens, round(tokens * (0.93::DOUBLE * 3e-6 + 0.07::DOUBLE * 15e-6), 2) AS dollars, round(100 * (1 - tokens / a), 1) AS saved_pct FROM v"""
+    o["determinism_fingerprint"] = f"""WITH {_SC.replace('FROM mx)', 'FROM sp)')}, k AS (SELECT n, sig, greatest(1, length(body) // 4) AS den, cnt FROM sc),
+l AS (SELECT n, sig, '{{"R": ' || round(n * 2509 / CAST(den AS DOUBLE), 3) || ', "den": ' || den || ', "occ": ' || cnt || ', "sig": "' || sig || '"}}' AS x FROM k) SELECT sha256('[' || string_agg(x, ', ' ORDER BY n, sig) || ']') AS sha256 FROM l"""
     o["routine_atlas"] = f"WITH {_GR} SELECT string_split(gram[1], ':')[1] AS head, count(*) AS routines, CAST(sum(cnt) AS BIGINT) AS occurrences FROM sp GROUP BY 1"
     o["populated_rates"] = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (CAST({c} AS VARCHAR) <> '') AS filled, count(*) AS total FROM documents" for c in ("doc_id", "text", "lang", "source"))
     pts = """k AS (SELECT *, CAST(regexp_extract(props, '\\d+') AS INT) AS k FROM events),
-el AS (SELECT event_id AS eid, user_id % 20 AS frame_id, 'el' || k AS target, (k % 10) / 10.0::DOUBLE AS l, (event_id % 9) / 10.0::DOUBLE AS t, (k % 4 + 1) / 20.0::DOUBLE AS w, (event_id % 3 + 1) / 20.0::DOUBLE AS h FROM k WHERE event_type = 'view' AND event_id % 10 = 0),
-pt AS (SELECT event_id AS id, user_id % 20 AS frame_id, event_id * 37 % 1800 AS x, event_id * 91 % 1117 AS y FROM k WHERE event_type = 'click' AND event_id % 5 = 0)"""
+el AS (SELECT event_id AS eid, user_id % 20 AS frame_id, 'el' || k AS target, (k % 10) / 10.0::DOUBLE AS l, (event_id % 9) / 10.0::DOUBLE AS t, (k % 4 + 1) / 20.0::DOUBLE AS w, (event_id % 3 + 1) / 20.0::DOUBLE AS h FROM k WHERE event_type = 'view'),
+pt AS (SELECT event_id AS id, user_id % 20 AS frame_id, event_id * 37 % 1800 AS x, event_id * 91 % 1117 AS y FROM k WHERE event_type = 'click')"""
     o["click_hit_test"] = f"""WITH {pts}, p AS (SELECT *, x / 1728.0::DOUBLE AS px, y / 1117.0::DOUBLE AS py FROM pt),
 j AS (SELECT p.id, el.*, px, py, CASE WHEN px BETWEEN l AND l + w AND py BETWEEN t AND t + h THEN 0 WHEN px BETWEEN l - 40 / 1728.0::DOUBLE AND l + w + 40 / 1728.0::DOUBLE AND py BETWEEN t - 40 / 1728.0::DOUBLE AND t + h + 40 / 1728.0::DOUBLE THEN 1 ELSE 2 END AS tier FROM p JOIN el USING (frame_id) WHERE px <= 1 AND py <= 1),
 q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, CASE WHEN tier < 2 THEN w * h END, eid) AS r FROM j)
 SELECT pt.id, CASE WHEN tier < 2 THEN target END AS target, CASE tier WHEN 0 THEN 'exact' WHEN 1 THEN 'tolerance' WHEN 2 THEN 'zone' END AS resolution, CASE WHEN tier = 2 THEN CASE WHEN py < 0.04 THEN 'menu bar' WHEN py < 0.08 THEN 'browser chrome' WHEN px < 0.15 THEN 'left sidebar' ELSE 'main content' END END AS zone
 FROM pt LEFT JOIN (SELECT * FROM q WHERE r = 1) q ON q.id = pt.id"""
-    o["click_any_screen"] = f"""WITH {pts}, sc AS (SELECT * FROM (VALUES (0, 1512.0::DOUBLE, 982.0::DOUBLE), (1, 1728.0::DOUBLE, 1117.0::DOUBLE), (2, 1440.0::DOUBLE, 900.0::DOUBLE), (3, 1920.0::DOUBLE, 1080.0::DOUBLE)) v(s, sw, sh)),
+    o["click_any_screen"] = f"""WITH {pts}, sc AS (SELECT * FROM (VALUES (0, 1728.0::DOUBLE, 1117.0::DOUBLE), (1, 2560.0::DOUBLE, 1440.0::DOUBLE), (2, 1920.0::DOUBLE, 1080.0::DOUBLE), (3, 1512.0::DOUBLE, 982.0::DOUBLE)) v(s, sw, sh)),
 p AS (SELECT *, x / sw AS px, y / sh AS py FROM pt, sc), j AS (SELECT p.id, el.target, row_number() OVER (PARTITION BY p.id ORDER BY s, w * h, eid) AS r FROM p JOIN el USING (frame_id)
 WHERE px BETWEEN 0 AND 1 AND py BETWEEN 0 AND 1 AND px BETWEEN l - 0.01::DOUBLE AND l + w + 0.01::DOUBLE AND py BETWEEN t - 0.01::DOUBLE AND t + h + 0.01::DOUBLE) SELECT id, target FROM j WHERE r = 1"""
     o["enriched_events"] = f"""WITH n AS ({o['nearest_frame']}), {_IN[2:]}, f AS (SELECT event_id AS fid, epoch_us(ts) AS t FROM events)
 SELECT inp.id, n.app, n.app || '.com' AS site, CASE kind WHEN 'click' THEN el END AS target, 'Button' AS role, CASE kind WHEN 'click' THEN 'native' END AS resolution, CAST(length(text) AS INT) AS text_length, n.frame_id, abs(t - ts_us) // 1000 AS dt_ms, CASE kind WHEN 'key' THEN 'low' ELSE 'high' END AS confidence FROM inp JOIN n ON n.id = inp.id JOIN f ON fid = frame_id"""
-    stp = f"""{_WU}, {_CL}, sn AS (SELECT device || '/' || start_us AS key, app, start_us AS lo, end_us + 7200000000 AS hi FROM seg),
-s0 AS (SELECT key, cl.*, row_number() OVER (PARTITION BY key ORDER BY id) AS nn, 'https://' || cl.app || '.com/' || (id % 2) AS url FROM sn JOIN cl ON cl.app = sn.app AND ts_us BETWEEN lo AND hi WHERE kind = 'text' OR element_role IS NOT NULL),
+    hit = o["click_any_screen"][5:].replace(pts.partition("pt AS")[2], " (SELECT id, frame_id, x, y FROM lost)").replace("pt AS", "pt AS").partition(" SELECT id, target FROM j")[0]
+    stp = f"""{_WU}, sn AS (SELECT device || '/' || start_us AS key, device, app, start_us AS lo, end_us + 7200000000 AS hi FROM seg),
+c0 AS (SELECT event_id AS id, epoch_us(ts) AS ts_us, {_USER} AS device, user_id % 20 AS frame_id, CASE event_type WHEN 'error' THEN 'text' ELSE 'click' END AS kind, CAST(regexp_extract(props, '\\d+') AS INT) AS kk, event_type AS ty FROM events),
+c1 AS (SELECT id, ts_us, device, frame_id, kind, CASE WHEN kk % 5 = 0 AND kind = 'click' THEN '' WHEN kk % 11 = 0 THEN 'group' WHEN kk % 17 = 0 THEN 'scroll area' ELSE ty || '-' || (kk % 4) END AS el, CASE WHEN kk % 2 = 0 THEN 'Button' END AS role,
+  CASE WHEN kk % 10 = 0 THEN '' ELSE 'typed text ' || (kk % 40) END AS text, CASE WHEN kk % 13 <> 0 THEN ty END AS app, CASE WHEN kk % 5 = 0 THEN id * 37 % 1800 END AS x, CASE WHEN kk % 5 = 0 THEN id * 91 % 1117 END AS y, 'https://' || ty || '.com/' || (id % 2) AS url FROM c0),
+lost AS (SELECT * FROM c1 WHERE kind = 'click' AND el = ''), {hit}, hits AS (SELECT id, target AS found FROM j WHERE r = 1),
+s0 AS (SELECT key, c1.*, found, row_number() OVER (PARTITION BY key ORDER BY c1.id) AS nn FROM sn JOIN c1 ON c1.device = sn.device AND (c1.app = sn.app OR c1.app IS NULL) AND ts_us BETWEEN lo AND hi LEFT JOIN hits ON hits.id = c1.id WHERE kind = 'text' OR role IS NOT NULL),
 s1 AS (SELECT *, CASE kind WHEN 'click' THEN url END AS page FROM s0), s2 AS (SELECT *, last_value(page IGNORE NULLS) OVER (PARTITION BY key ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s1 WHERE nn <= 250),
-s3 AS (SELECT key, CAST(nn AS INT) AS n, CASE kind WHEN 'click' THEN 'click' ELSE 'type' END AS op, CASE kind WHEN 'click' THEN element_name END AS target, element_role AS role, CASE WHEN page IS DISTINCT FROM before THEN page END AS url, CASE kind WHEN 'text' THEN text END AS text, CASE kind WHEN 'text' THEN CAST(length(text) AS INT) END AS chars, id AS event_id, true AS resolved FROM s2)"""
+s3 AS (SELECT key, CAST(nn AS INT) AS n, strftime(make_timestamp(ts_us), '%H:%M:%S') AS t, CASE kind WHEN 'click' THEN 'click' ELSE 'type' END AS op, CASE kind WHEN 'click' THEN coalesce(nullif(el, ''), found, 'w') END AS target, CASE kind WHEN 'click' THEN role END AS role,
+  CASE WHEN page IS DISTINCT FROM before THEN page END AS url, CASE kind WHEN 'text' THEN nullif(text, '') END AS text, CASE kind WHEN 'text' THEN CAST(length(text) AS INT) END AS chars, id AS event_id, kind <> 'click' OR el <> '' OR found IS NOT NULL AS resolved FROM s2)"""
     o["steps_script"] = f"{stp} SELECT * FROM s3"
-    o["find_frame"] = f"""{stp}, g AS (SELECT key, lower(string_agg(url, ' ')) AS urls, lower(string_agg(target, ' ')) AS targets FROM s3 GROUP BY key), k AS (SELECT g.*, sn.app FROM g JOIN sn USING (key)),
-c AS (SELECT *, lower(last_value(url IGNORE NULLS) OVER (PARTITION BY key ORDER BY n)) AS page FROM s3), d AS (SELECT key, count(*) FILTER (op = 'click' AND role = 'Button' AND contains(page, 'view')) AS task_clicks, arg_min(url, n) FILTER (url IS NOT NULL AND contains(page, 'view')) AS from_url FROM c GROUP BY key),
-sc AS (SELECT key, {' + '.join(f"(CASE WHEN contains(urls, '{w}') THEN 3 ELSE 0 END) + (CASE WHEN contains(targets, '{w}') THEN 2 ELSE 0 END) + (CASE WHEN contains(app, '{w}') THEN 1 ELSE 0 END)" for w in ('view',))} AS score,
-{' AND '.join(f"(contains(coalesce(urls, ''), '{w}') OR contains(coalesce(targets, ''), '{w}') OR contains(app, '{w}'))" for w in ('view',))} AS ok FROM k)
-SELECT key, CAST(score AS INT) AS score, task_clicks, from_url FROM sc JOIN d USING (key) WHERE ok AND task_clicks > 0"""
+    o["find_frame"] = f"""{stp}, u AS (SELECT *, coalesce(lower(last_value(url IGNORE NULLS) OVER (PARTITION BY key ORDER BY n)), '') AS page FROM s3),
+d AS (SELECT key, lower(string_agg(url, ' ')) AS urls, lower(string_agg(target, ' ')) AS targets, count(*) FILTER (op = 'click' AND role = 'Button' AND contains(page, 'view')) AS task_clicks,
+  arg_min(regexp_extract(url, '\\.com/(.*)$', 1), n) FILTER (contains(url, 'view')) AS from_url FROM u GROUP BY key),
+fs AS (SELECT key, CASE WHEN contains(urls, 'view') THEN 3 WHEN contains(targets, 'view') THEN 2 WHEN contains(sn.app, 'view') THEN 1 ELSE 0 END AS score, task_clicks, from_url FROM d JOIN sn USING (key))
+SELECT key, score, task_clicks, from_url FROM fs WHERE score > 0 AND task_clicks > 0"""
     o["context_topk"] = f"{_WU}, t AS (SELECT * FROM seg ORDER BY active_us DESC, start_us, first_id LIMIT 40) SELECT CAST(row_number() OVER (ORDER BY start_us, first_id) AS INT) AS place, device, app, start_us, active_us FROM t"
     o["stream_blocks"] = f"WITH {_ev(_USER)}, g AS (SELECT *, sum(CASE WHEN gap > 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY device ORDER BY ts_us, id) AS blk FROM (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY device ORDER BY ts_us, id) AS gap FROM ev)) SELECT device, min(ts_us) AS start_us, max(ts_us) AS end_us, count(*) AS n FROM g GROUP BY device, blk"
     return o
