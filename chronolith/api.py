@@ -65,26 +65,24 @@ class ActivityLog:
     def elements(self) -> DataFrame:
         return sources.read_capture(self.spark, self.source, "elements")
 
-    def window(self, start: str, end: str) -> dict:
-        w = (start, end)
-        frames = self.frames(w).persist()
-        events = self.events(w).select("id", "ts_us", "event_type", "text")
-        try:
-            return plans.build_document(frames, events, self.params, window=w, generated_at=self.clock().strftime(_FORM + "Z"))
-        finally:
-            frames.unpersist()
+    def window(self, start: str, end: str, **args) -> dict:
+        """The document of a window of UTC times; args as of plans.build_document (include_text, debug)."""
+        events = self.events((start, end)).select("id", "ts_us", "event_type", "text")
+        made = self.clock().astimezone(timezone.utc).strftime(_FORM + "Z")
+        return plans.build_document(self.frames((start, end)), events, self.params, window=(start, end), generated_at=made, layout=self.layout, **args)
 
-    def day(self, day: str | None = None) -> dict:
-        return self.window(*self._day(day))
+    def day(self, day: str | None = None, **args) -> dict:
+        day = day or self.clock().astimezone(ZoneInfo(self.tz)).strftime("%Y-%m-%d")
+        return self.window(*self._day(day), day=day, **args)
 
-    def recent(self, hours: float = 2) -> dict:
-        return self.window(*self._trailing(hours=hours))
+    def recent(self, hours: float = 2, **args) -> dict:
+        return self.window(*self._trailing(hours=hours), **args)
 
     def context(self, hours: float = 2, max_frames: int = 40) -> str:
-        return plans.context_block(self.recent(hours), max_frames, self.tz)
+        return plans.context_block(self.recent(hours), max_frames)
 
     def day_context(self, day: str | None = None, max_frames: int = 40) -> str:
-        return plans.context_block(self.day(day), max_frames, self.tz)
+        return plans.context_block(self.day(day), max_frames)
 
     def apps(self, day: str | None = None) -> DataFrame:
         return views.app_ledger(self.frames(self._day(day)), self.params).orderBy(F.desc("active_us"), "app")
@@ -106,7 +104,7 @@ class ActivityLog:
         ranges = self.spark.createDataFrame(rows, "key string, app string, first_id long, last_id long")
         frames = self.frames(w)
         spans = steps.evidence_windows(ranges, frames)
-        return steps.steps(spans, self.events(w), self.elements(), frames, **args), spans
+        return steps.steps(spans, self.events(w), self.elements(), frames, tz=self.tz, **args), spans
 
     def steps(self, frame: str, day: str | None = None, hours: float = 3, *, include_text: bool = True, max_steps: int = 250) -> dict:
         """The script of one entry of a document, or an error with the ids that there are."""

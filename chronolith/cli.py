@@ -55,7 +55,8 @@ def serve(log, source=None, sink=None) -> None:
 
 def main(argv: list[str] | None = None, log=None) -> int:
     p = argparse.ArgumentParser(prog="chronolith")
-    p.add_argument("--source", default=".")
+    p.add_argument("--source", "--db", default=".")
+    p.add_argument("--debug", action="store_true", help="why each entry begins, and tracebacks")
     p.add_argument("--format", "-f", choices=["json", "yaml", "markdown", "context"], default="json")
     p.add_argument("--min-minutes", type=float, default=0.5)
     p.add_argument("--tz", default="UTC")
@@ -93,10 +94,10 @@ def main(argv: list[str] | None = None, log=None) -> int:
 
         spark = SparkSession.builder.appName("chronolith").config("spark.sql.session.timeZone", "UTC").getOrCreate()
         log = ActivityLog(spark, a.source, layout=a.layout, min_minutes=a.min_minutes, tz=a.tz)
-    show = {"json": plans.to_json, "yaml": plans.to_yaml, "markdown": lambda d: plans.to_markdown(d, a.tz), "context": lambda d: plans.context_block(d, tz=a.tz)}[a.format]
+    show = {"json": plans.to_json, "yaml": plans.to_yaml, "markdown": plans.to_markdown, "context": plans.context_block}[a.format]
     try:
         if a.command in ("today", "day"):
-            print(show(log.day(getattr(a, "date", None))))
+            print(show(log.day(getattr(a, "date", None), debug=a.debug)))
         elif a.command == "context":
             print(log.context(a.hours, a.max_frames))
         elif a.command == "mcp":
@@ -114,8 +115,10 @@ def main(argv: list[str] | None = None, log=None) -> int:
             rows = {"apps": lambda: log.apps(a.date), "patterns": lambda: log.patterns(a.days, a.include_text), "comms": lambda: log.communications(a.hours, a.day, a.kind)}[a.command]()
             for r in rows.toLocalIterator():
                 print(json.dumps(r.asDict(True), ensure_ascii=False))
-    except ValueError as e:
-        print(f"error: {e}", file=sys.stderr)
+    except Exception as e:  # whatever fails, a line and an exit code, no traceback
+        if a.debug:
+            raise
+        print(f"error: {str(e).splitlines()[0] if str(e) else type(e).__name__}", file=sys.stderr)
         return 2
     return 0
 

@@ -13,13 +13,15 @@ from .temporal import block_split
 JOIN = " -> "
 
 
-def step_sessions(steps: DataFrame, gap_us: int, min_steps: int = 3) -> DataFrame:
+def step_sessions(steps: DataFrame, gap_us: int, min_steps: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """session, path (its steps in order) of streams cut at gaps longer than gap_us. Steps that are null or empty end
-    no session and are left out; a step equal to the one before it is too; shorter sessions go."""
+    no session and are left out; a step equal to the one before it is too; shorter sessions go. With keep, rows: those columns
+    of each step of path."""
     rows = block_split(steps.withColumn("device", F.col("stream")), gap_us).where("step <> ''")
     w = Window.partitionBy("device", "block").orderBy("ts_us", "id")
     rows = rows.where("step is not null").withColumn("same", F.lag("step").over(w).eqNullSafe(F.col("step"))).where("not same")
-    out = rows.groupBy(F.concat_ws("/", "device", F.col("block").cast("string")).alias("session")).agg(F.min("ts_us").alias("start_us"), F.transform(F.sort_array(F.collect_list(F.struct("ts_us", "id", "step"))), lambda x: x["step"]).alias("path"))
+    out = rows.groupBy(F.concat_ws("/", "device", F.col("block").cast("string")).alias("session")).agg(F.min("ts_us").alias("start_us"), F.sort_array(F.collect_list(F.struct("ts_us", "id", "step", *keep))).alias("own"))
+    out = out.select("session", "start_us", F.transform("own", lambda x: x["step"]).alias("path"), *([F.transform("own", lambda x: F.struct(*[x[c].alias(c) for c in keep])).alias("rows")] if keep else []))
     return out.where(F.size("path") >= min_steps)
 
 

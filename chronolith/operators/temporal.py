@@ -60,8 +60,11 @@ def block_split(frames: DataFrame, gap: int) -> DataFrame:
 def raw_segments(frames: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """One row for each run: device, block, seg, app, site, start_us, end_us, active_us, n_frames, first_id, last_id,
     capped, break_reason (start, context_switch, or session_gap with the seconds before it)."""
-    rows = raw_frames(frames, p)
-    out = rows.groupBy("device", "block", "seg").agg(
+    return _runs_of(raw_frames(frames, p), p)
+
+
+def _runs_of(rows: DataFrame, p: Params, *keep: str) -> DataFrame:
+    out = rows.groupBy("device", "block", "seg", *keep).agg(
         F.min("app").alias("app"), F.min("site").alias("site"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"), F.sum("dwell").alias("active_us"), F.count("*").alias("n_frames"),
         F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.bool_or("capped").alias("capped"), F.min_by("previous", F.struct("ts_us", "id")).alias("previous"),
     )
@@ -78,13 +81,6 @@ def _with_neighbours(runs: DataFrame, before: int, after: int) -> DataFrame:
     return runs.withColumn("place", F.explode(places)).select("*", "place.*").drop("place")
 
 
-def _carried(runs: DataFrame, total, carry) -> DataFrame:
-    """runs (with bucket) with carried: of each bucket, carry over the totals of the buckets before it on the device."""
-    of = runs.groupBy("device", "bucket").agg(total.alias("total"))
-    w = Window.partitionBy("device").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return runs.join(of.select("device", "bucket", F.coalesce(carry("total").over(w), F.lit(0)).alias("carried")), ["device", "bucket"])
-
-
 def fold_flicker(raw: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """raw_segments with swallowed (a short visit between two runs of one app and site) and merged (the number on its
     device of the segment it belongs to).
@@ -101,21 +97,34 @@ def fold_flicker(raw: DataFrame, p: Params = DEFAULT) -> DataFrame:
         (lead("end_us", 1) - lead("start_us", 1) <= p.merge_flicker) & (lead("block", 2) == F.col("block"))
         & F.col("app").eqNullSafe(lead("app", 2)) & F.col("site").eqNullSafe(lead("site", 2))
     )
-    runs = _with_neighbours(raw, 0, 2).withColumn("ext", F.coalesce(ext, F.lit(False))).where("own").drop("own")
+    runs = _with_neighbours(raw, 2, 2).withColumn("ext", F.coalesce(ext, F.lit(False)))
+    # the last run before a bucket and its copies that is not ext: of the bucket before without its last two, and of those before it
     solid = F.when(~F.col("ext"), F.col("seg"))
-    runs = _carried(runs, F.max(solid), F.max)
-    runs = runs.withColumn("run", F.when(F.col("ext"), F.col("seg") - F.greatest(F.coalesce(F.max(solid).over(so_far), F.lit(0)), "carried")).otherwise(0)).drop("bucket", "carried", "ext")
+    of = runs.where("own").groupBy("device", "bucket").agg(F.max(solid).alias("whole"), F.max(F.when(F.col("seg") % RUNS < RUNS - 2, solid)).alias("short"))
+    d = Window.partitionBy("device").orderBy("bucket")
+    of = of.select("device", "bucket", F.greatest(F.lag("short").over(d), F.max("whole").over(d.rowsBetween(Window.unboundedPreceding, -2)), F.lit(0)).alias("carried"))
+    runs = runs.join(of, ["device", "bucket"])
+    runs = runs.withColumn("run", F.when(F.col("ext"), F.col("seg") - F.greatest(F.max(solid).over(so_far), "carried")).otherwise(0))
     odd = lambda n: F.coalesce(F.lag("run", n).over(w) % 2 == 1, F.lit(False))
-    runs = _with_neighbours(runs, 2, 0).withColumn("swallowed", odd(1)).withColumn("head", ~F.col("swallowed") & ~odd(2)).where("own").drop("own", "run")
-    head = F.when(F.col("head"), 1).otherwise(0)
-    runs = _carried(runs, F.sum(head), F.sum)
-    return runs.withColumn("merged", F.sum(head).over(so_far) + F.col("carried")).drop("bucket", "carried", "head")
+    runs = runs.withColumn("swallowed", odd(1)).withColumn("head", F.when(F.col("own") & ~F.col("swallowed") & ~odd(2), 1).otherwise(0))
+    heads = runs.groupBy("device", "bucket").agg(F.sum("head").alias("heads"))
+    heads = heads.select("device", "bucket", F.coalesce(F.sum("heads").over(d.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    runs = runs.join(heads, ["device", "bucket"]).withColumn("merged", F.sum("head").over(so_far) + F.col("before"))
+    return runs.where("own").drop("own", "bucket", "ext", "carried", "run", "head", "before")
 
 
 def segments(frames: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Merged segments: device, block, merged, app, site, start_us, end_us, active_us, n_frames, first_id, last_id,
     capped, break_reason and interruptions (array of app, site, microseconds, in order)."""
-    rows = fold_flicker(raw_segments(frames, p), p)
+    return _merged(fold_flicker(raw_segments(frames, p), p))
+
+
+def segments_of(own: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """The segments of framed() rows, without working out the runs again."""
+    return _merged(_runs_of(own, p, "swallowed", "merged"))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
     own = ~F.col("swallowed")
     took = F.coalesce(F.nullif("active_us", F.lit(0)), F.nullif(F.col("end_us") - F.col("start_us"), F.lit(0)), F.lit(1_000_000))
     host = lambda f, c: f(F.when(own, F.col(c))).alias(c)

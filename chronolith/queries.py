@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import sources
 from .functions import apex, clean_name, click_step, confidence, decode_text, hostname, is_destructive, is_specific, path_parts, slug, tokens, ts_us, type_step, unquote, url_template
 from .functions.entities import with_page
-from .operators import mining, spatial, steps, temporal, views
+from .operators import mining, routines, spatial, steps, temporal, views
 from .params import DEFAULT, SCALED, Params
 
 U = sources.frames_by_user
@@ -135,6 +135,27 @@ def _ratios(spark, d):
     return mining.overhead(mining.replay_scripts(mining.maximal(mining.specific(_grams(spark, d)))))
 
 
+def _plans(spark, d):
+    """Plans of the top routines, on steps that carry a name, a role, an app and a page."""
+    e = sources._events(spark, d)
+    k, kind = F.col("k"), F.col("event_type")
+    more = e.select("id", F.concat(kind, F.lit("-"), (k % 4).cast("string")).alias("element_name"), F.when(k % 2 == 0, "Button").alias("element_role"), kind.alias("app"), F.when(k % 3 != 0, F.concat(F.lit("https://"), kind, F.lit(".com/a/"), (k % 3).cast("string"), F.lit("/c"))).alias("url"))
+    sessions = mining.step_sessions(sources.action_steps(spark, d).join(more, "id"), 172_800_000_000, keep=routines.EVENT)
+    return routines.compile_plans(routines.top_routines(mining.frequent_ngrams(sessions.drop("rows"), least=3)), sessions)
+
+
+#: Addresses of the hosts that have a type of their own, and what they are.
+TYPED = [
+    ("https://github.com/acme/tools/pull/12", "pull_request"), ("https://github.com/acme/tools", "repo"), ("https://www.linkedin.com/in/someone", "profile"), ("https://mail.google.com/mail/u/0/#inbox", "email"), ("https://docs.google.com/document/d/abc/edit", "doc"),
+    ("https://www.youtube.com/watch?v=abc", "video"), ("https://stackoverflow.com/questions/12/how", "question"), ("https://login.acme.test/x", "sign_in"), ("https://dashboard.acme.test/", "dashboard"), ("https://acme.test/a/b", "page"),
+]
+
+
+def _typed(spark, d):
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(TYPED)], "i int, url string")
+    return with_page(df, "url").select("i", "url", "page.kind")
+
+
 def _atlas(spark, d):
     g = mining.specific(_grams(spark, d)).withColumn("head", F.substring_index(F.get("gram", F.lit(0)), ":", 1))
     return g.groupBy("head").agg(F.count("*").alias("routines"), F.sum("cnt").alias("occurrences"))
@@ -233,6 +254,10 @@ def queries() -> dict:
         "three_arm_cost": lambda s, d: mining.three_arm_cost(_ratios(s, d).withColumnRenamed("script_tokens", "plan_tokens"), 0.75),
         "determinism_fingerprint": lambda s, d: mining.fingerprint(mining.specific(_grams(s, d))),
         "routine_atlas": _atlas,
+        "routine_plans": _plans,
+        "plan_summary": lambda s, d: routines.plan_summary(_plans(s, d)),
+        "plan_cost": lambda s, d: mining.three_arm_cost(_plans(s, d), 0.75),
+        "typed_urls": _typed,
         "populated_rates": lambda s, d: views.populated_rates(s.read.parquet(f"{d}/documents.parquet"), ["doc_id", "text", "lang", "source"]),
         "click_hit_test": lambda s, d: b.hit_test(_points(s, d), _elements(s, d)).select("id", "target", "resolution", "zone"),
         "click_any_screen": lambda s, d: b.hit_any_screen(_points(s, d), _elements(s, d)).select("id", "target"),
@@ -382,6 +407,19 @@ v AS (SELECT 'rederive' AS arm, a AS tokens, a FROM t UNION ALL SELECT 'inject',
 SELECT arm, tokens, round(tokens * (0.93::DOUBLE * 3e-6 + 0.07::DOUBLE * 15e-6), 2) AS dollars, round(100 * (1 - tokens / a), 1) AS saved_pct FROM v"""
     o["determinism_fingerprint"] = f"""WITH {_SC.replace('FROM mx)', 'FROM sp)')}, k AS (SELECT n, sig, greatest(1, length(body) // 4) AS den, cnt FROM sc),
 l AS (SELECT n, sig, '{{"R": ' || round(n * 2509 / CAST(den AS DOUBLE), 3) || ', "den": ' || den || ', "occ": ' || cnt || ', "sig": "' || sig || '"}}' AS x FROM k) SELECT sha256('[' || string_agg(x, ', ' ORDER BY n, sig) || ']') AS sha256 FROM l"""
+    o["typed_urls"] = "SELECT CAST(i AS INT) AS i, url, kind FROM (VALUES " + ", ".join(f"({i}, '{u}', '{k}')" for i, (u, k) in enumerate(TYPED)) + ") v(i, url, kind)"
+    pl = f"""WITH {_MX}, tp AS (SELECT * FROM mx ORDER BY cnt * n DESC, n DESC, sig LIMIT 20),
+fo AS (SELECT gram, arg_min((stream, blk, pos), (start_us, stream || '/' || blk, pos)) AS f FROM (SELECT o.*, ses.start_us FROM occ o JOIN ses USING (stream, blk)) WHERE gram IN (SELECT gram FROM tp) GROUP BY gram),
+pr AS (SELECT stream, blk, id, row_number() OVER (PARTITION BY stream, blk ORDER BY ts_us, id) AS ix FROM st3 WHERE before IS DISTINCT FROM step),
+ac AS (SELECT tp.sig, tp.n, tp.cnt, pr.ix, e.event_type AS ty, CAST(regexp_extract(props, '\\d+') AS INT) AS k FROM tp JOIN fo USING (gram) JOIN pr ON pr.stream = f[1] AND pr.blk = f[2] AND pr.ix BETWEEN f[3] AND f[3] + tp.n - 1 JOIN events e ON e.event_id = pr.id),
+aj AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'Button' ELSE '' END AS rl, '{{"op": "click", "target": "' || ty || '-' || (k % 4) || '", "role": "' || rl || '", "guard": {{"expect_element": "' || ty || '-' || (k % 4) || '", "expect_role": "' || rl || '", "expect_app": "' || ty || '"' || CASE WHEN k % 3 <> 0 THEN ', "expect_url_template": "' || ty || '.com/a/' || (k % 3) || '/*"' ELSE '' END || '}}}}' AS a FROM ac),
+pn AS (SELECT sig, any_value(n) AS n, any_value(cnt) AS cnt, '[' || string_agg(a, ', ' ORDER BY ix) || ']' AS plan, CAST(count(*) AS INT) AS grounded FROM aj GROUP BY sig),
+po AS (SELECT sig, n, cnt, CAST(length(plan) // 4 AS INT) AS plan_tokens, grounded, CAST(grounded AS DOUBLE) / n AS guard_coverage, n * 2509 AS rederivation_tokens, round(n * 2509 / CAST(length(plan) // 4 AS DOUBLE), 1) AS ratio, plan FROM pn)"""
+    o["routine_plans"] = f"{pl} SELECT * FROM po"
+    at = "list_sort(list({c}))[CAST(floor(count(*) * {q}) AS BIGINT) + 1]"
+    o["plan_summary"] = f"{pl} SELECT count(*) AS n_plans, {at.format(c='plan_tokens', q='0.5')} AS plan_tokens, {at.format(c='guard_coverage', q='0.5')} AS guard_coverage, round(median(ratio), 1) AS median, {at.format(c='ratio', q='0.25')} AS p25, {at.format(c='ratio', q='0.75')} AS p75 FROM po"
+    arms = o["three_arm_cost"].partition(", t AS")[2].replace("script_tokens", "plan_tokens").replace("FROM ov", "FROM po")
+    o["plan_cost"] = f"{pl}, t AS{arms}"
     o["routine_atlas"] = f"WITH {_GR} SELECT string_split(gram[1], ':')[1] AS head, count(*) AS routines, CAST(sum(cnt) AS BIGINT) AS occurrences FROM sp GROUP BY 1"
     o["populated_rates"] = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (CAST({c} AS VARCHAR) <> '') AS filled, count(*) AS total FROM documents" for c in ("doc_id", "text", "lang", "source"))
     pts = """k AS (SELECT *, CAST(regexp_extract(props, '\\d+') AS INT) AS k FROM events),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +28,14 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def read_capture(spark: SparkSession, path: str, name: str, window: tuple[str, str] | None = None) -> DataFrame:
-    """Table name (of TABLES) under the Parquet folder path, empty if there is none. window is a half-open range of
-    timestamp strings, which reaches the scan; a date partition column is filtered too if the source has one."""
+    """Table name (of TABLES) of a Parquet folder or, if path is a file, of a SQLite capture; empty if there is none.
+    window is a half-open range of timestamp strings, which reaches the scan; a date partition column is filtered too if
+    the source has one."""
     schema = TABLES[name]
+    if os.path.isfile(path):
+        from .sqlite import read_table
+
+        return conform(read_table(spark, path, name, schema, window), schema)
     try:
         df = spark.read.parquet(f"{path.rstrip('/')}/{name}.parquet")
     except Exception as e:
@@ -43,6 +50,23 @@ def read_capture(spark: SparkSession, path: str, name: str, window: tuple[str, s
     return conform(df, schema)
 
 
+class CaptureNotFound(FileNotFoundError):
+    """There is no capture where one was looked for."""
+
+
+#: Where a capture is looked for, and the variable that names one.
+CAPTURES, CAPTURE_VARIABLE = ("~/.chronolith/db.sqlite", "~/.chronolith/data/db.sqlite", "~/.chronolith/capture"), "CHRONOLITH_DB"
+
+
+def find_capture() -> str:
+    """The capture that the variable names, else of CAPTURES the one that was written last."""
+    named = os.environ.get(CAPTURE_VARIABLE)
+    there = [p for p in map(os.path.expanduser, [named] if named else CAPTURES) if os.path.exists(p)]
+    if not there:
+        raise CaptureNotFound(f"${CAPTURE_VARIABLE} names no file: {named}" if named else f"no capture found; set ${CAPTURE_VARIABLE}")
+    return max(there, key=os.path.getmtime)
+
+
 def write_partitioned(df: DataFrame, path: str, name: str) -> None:
     """Write a capture table partitioned by UTC date, sorted within, as read_capture prunes it."""
     (df.withColumn("date", F.substring("timestamp", 1, 10)).repartition("date").sortWithinPartitions("timestamp", "id").write.mode("overwrite").partitionBy("date").parquet(f"{path.rstrip('/')}/{name}.parquet"))

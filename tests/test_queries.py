@@ -21,7 +21,7 @@ def plain(v):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["segments_merged", "interruptions", "app_ledger", "input_asof", "device_arbitration", "nearest_frame", "url_typing", "comm_surfaces", "patterns_all", "maximal_ngrams", "ngram_coverage", "click_hit_test", "steps_script", "enriched_events"])
+@pytest.mark.parametrize("name", ["segments_merged", "interruptions", "app_ledger", "input_asof", "device_arbitration", "nearest_frame", "url_typing", "comm_surfaces", "patterns_all", "maximal_ngrams", "ngram_coverage", "click_hit_test", "click_any_screen", "steps_script", "find_frame", "enriched_events", "nearest_with_tolerance", "three_arm_cost", "determinism_fingerprint", "routine_plans", "typed_urls"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "pages", "documents"):

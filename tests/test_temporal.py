@@ -3,6 +3,8 @@
 import bisect
 import random
 
+import pytest
+
 from chronolith.operators import temporal, views
 from chronolith.params import SECOND, Params
 
@@ -34,13 +36,16 @@ def model(rows, gap=300, cap=90, flicker=20):
     return out
 
 
-def test_segments_equal_the_greedy_model(spark):
+@pytest.mark.parametrize("runs", [3, 5, 4096])
+def test_segments_equal_the_greedy_model(spark, monkeypatch, runs):
+    """Whatever the size of a bucket of runs; long chains of short visits cross it, and hours, many times."""
+    monkeypatch.setattr(temporal, "RUNS", runs)
     rng = random.Random(4)
-    for _ in range(4):
+    for pauses in ([1, 3, 5, 15, 25, 100, 299, 300, 301, 5000], [5, 10, 15]):
         t, rows = 86_000, []
-        for _ in range(400):
-            t += rng.choice([1, 3, 5, 15, 25, 100, 299, 300, 301, 5000])
-            rows.append((t, rng.choice("AAB")))
+        for i in range(700):
+            t += rng.choice(pauses)
+            rows.append((t, rng.choice("AAB") if len(pauses) > 3 or i % 50 == 0 else "AB"[i % 2]))
         got = temporal.segments(frames(spark, rows), P).collect()
         got = sorted((r["start_us"] // SECOND, r["end_us"] // SECOND, r["active_us"] // SECOND, r["app"], len(r["interruptions"])) for r in got)
         assert got == model(rows)

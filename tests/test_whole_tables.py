@@ -1,44 +1,13 @@
-"""Registered queries over all rows of the test tables: the SQL without its row filters, and plain Python models."""
+"""Registered queries of every length and number of rounds against plain Python models."""
 
 from collections import Counter
 from datetime import datetime, timedelta
 
-import duckdb
 import pytest
-from test_queries import SF, needs_data, plain
 
 from chronolith import queries
 from chronolith.operators import mining
 
-#: Row filters of the registered SQL that the queries do not have.
-FILTERS = {
-    "device_arbitration": [" WHERE user_id IN (1, 2, 3)", " WHERE id % 4 = 0", " WHERE event_id % 3 = 0"],
-    "input_asof": [" WHERE event_id % 3 = 0"],
-    "nearest_frame": [" WHERE event_id % 3 = 0"],
-    "nearest_with_tolerance": [" WHERE event_id % 3 = 0"],
-    "enriched_events": [" WHERE event_id % 3 = 0"],
-    "click_hit_test": [" AND event_id % 10 = 0", " AND event_id % 5 = 0"],
-    "click_any_screen": [" AND event_id % 10 = 0", " AND event_id % 5 = 0"],
-}
-
-
-@needs_data
-@pytest.mark.parametrize("name", FILTERS)
-def test_query_equals_sql_without_filters(spark, name):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
-    sql = queries.oracle_sql()[name]
-    for text in FILTERS[name]:
-        sql = sql.replace(text, "")
-    r = con.execute(sql)
-    names = sorted(c[0] for c in r.description)
-    at = [[c[0] for c in r.description].index(n) for n in names]
-    want = sorted((tuple(plain(x[i]) for i in at) for x in r.fetchall()), key=repr)
-    df = queries.queries()[name](spark, SF)
-    assert sorted(df.columns) == names
-    assert sorted((tuple(plain(x[c]) for c in names) for x in df.collect()), key=repr) == want
-
-
 #: Steps of three users: the two specific ones are seven apart, so no shorter n-gram has both.
 PATH = ["click:0", "[error]", "[signup]", "[purchase]", "[error]", "[signup]", "view:1"]
 
