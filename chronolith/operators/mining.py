@@ -72,6 +72,8 @@ def maximal(grams: DataFrame) -> DataFrame:
     cuts = names.where(F.length("step") > 1).select("step", F.explode(F.sequence(F.lit(1), F.length("step") - 1)).alias("k"))
     tails = cuts.select(F.expr("substring(step, k + 1)").alias("step")).distinct().join(names, "step", "left_semi")
     heads = cuts.select(F.expr("substring(step, 1, k)").alias("step")).distinct().join(names, "step", "left_semi")
+    if tails.union(heads).isEmpty():  # a look at the distinct steps alone
+        return alive.select("gram", "n", "cnt", "first", "sig")
     loose = alive.withColumn("step", F.get("gram", F.lit(0))).join(tails, "step", "left_semi").unionByName(alive.withColumn("step", F.element_at("gram", -1)).join(heads, "step", "left_semi")).drop("step")
     middle = F.slice("gram", F.lit(2), F.least(F.greatest(F.col("n").cast("int") - 2, F.lit(0)), F.lit(2)))
     parts = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda i: F.slice("gram", i, k))))
