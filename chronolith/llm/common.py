@@ -108,14 +108,21 @@ def tool(name: str, key, build: Callable):
     return held["value"]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Views of a batch's rows with about limit bytes of text each, so that what is made of them at once is bounded."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+def cuts(texts: pa.Array, limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """(first, how many) of parts of texts of about limit bytes each, so that what is made of them at once is bounded."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < len(ends):
-        end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right"))
-        yield batch.slice(at, max(end, at + 1) - at)
-        at = max(end, at + 1)
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield at, end - at
+        at = end
+
+
+def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Views of a batch's rows, by cuts() of a column; memory is given back after the last."""
+    for cut in cuts(batch.column(column)):
+        yield batch.slice(*cut)
+    release()
 
 
 def text_udf(name: str, key, build: Callable, run: Callable, kind: str):
@@ -126,8 +133,10 @@ def text_udf(name: str, key, build: Callable, run: Callable, kind: str):
     def of_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = tool(name, key, build)
         for batch in batches:
-            yield run(own, batch)
-        release()
+            parts = [run(own, batch.slice(*cut)) for cut in cuts(batch)]
+            yield parts[0] if len(parts) == 1 else pa.concat_arrays(parts) if parts else run(own, batch)
+            del parts
+            release()
 
     return of_text.asNondeterministic()
 

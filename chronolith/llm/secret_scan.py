@@ -36,7 +36,7 @@ TOKEN = re.compile(r"[^\W_][\w+/.~-]*(?:={1,2}(?!\w))?|[^\w\s]|_")
 FEATURES = 1 << 15
 #: Distinct tokens that a worker keeps the scores of, characters of the longest of them, and characters of text that
 #: are tagged at once (a longer text is tagged whole, by itself). None of these changes a result.
-CACHE, CACHED_CHARS, CHARS_AT_ONCE = 200_000, 64, 1_000_000
+CACHE, CACHED_CHARS, CHARS_AT_ONCE = 120_000, 64, 500_000
 #: Documents that the field is trained on (half of them with base spans), those that they are chosen from (about so
 #: many), words taken of each, and made-up secrets and other tokens among them.
 SAMPLE_DOCS, POOL_DOCS, SAMPLE_WORDS, SYNTHETIC = 1_000, 20_000, 120, 3_000
