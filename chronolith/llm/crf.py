@@ -61,6 +61,58 @@ def forward_backward(emission: np.ndarray, trans: np.ndarray, first: np.ndarray,
     return gamma, xi, gamma[lay.rows(0)].sum(axis=0) if lay.steps else 0, float(np.log(scale).sum() + top.sum())
 
 
+def marginals(emission: np.ndarray, trans: np.ndarray, first: np.ndarray, lengths: np.ndarray, *, part: int = 64) -> np.ndarray:
+    """The marginals of forward_backward(), for which a long sequence takes no more steps than a short one: sequences
+    are cut into parts, all parts are passed at once. A part's transfer matrix (from the label before it to its last)
+    carries the forward and backward vectors over it, so the result is that of the whole sequence."""
+    lengths = np.asarray(lengths, dtype=np.int64)
+    n, k = emission.shape
+    em = np.exp(emission - emission.max(axis=1, keepdims=True)) if n else emission
+    m, f0 = np.exp(trans).astype(em.dtype), np.exp(first).astype(em.dtype)
+    n_parts = -(-lengths // part)
+    sequences = Layout(n_parts)
+    within = np.arange(int(n_parts.sum())) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
+    lay = Layout(np.minimum(part, np.repeat(lengths, n_parts) - within * part))
+    begins = (within == 0)[lay.order][:, None]
+
+    over = np.empty((len(within), k, k), em.dtype)
+    for t in range(lay.steps):
+        rows = lay.rows(t)
+        cur = np.where(begins[:, :, None], f0, m) if t == 0 else (over[: len(rows)].reshape(-1, k) @ m).reshape(-1, k, k)
+        cur *= em[rows][:, None, :]
+        over[: len(rows)] = cur / cur.sum(axis=(1, 2), keepdims=True)
+    own = np.empty_like(over)
+    own[lay.order] = over
+    before, after = np.full((len(within), k), 1 / k, em.dtype), np.ones((len(within), k), em.dtype)
+    for i in range(1, sequences.steps):
+        at = sequences.rows(i)
+        x = np.einsum("pi,pij->pj", before[at - 1], own[at - 1])
+        before[at] = x / x.sum(axis=1, keepdims=True)
+    for i in range(sequences.steps - 1, 0, -1):
+        at = sequences.rows(i)
+        x = np.einsum("pij,pj->pi", own[at], after[at])
+        after[at - 1] = x / x.sum(axis=1, keepdims=True)
+
+    gamma, prev = np.empty_like(em), before[lay.order]
+    for t in range(lay.steps):
+        rows = lay.rows(t)
+        cur = prev[: len(rows)] @ m
+        if t == 0:
+            cur = np.where(begins, f0, cur)
+        cur *= em[rows]
+        cur /= cur.sum(axis=1, keepdims=True)
+        gamma[rows], prev = cur, cur
+    beta = after[lay.order]
+    for t in range(lay.steps - 1, -1, -1):
+        rows = lay.rows(t)
+        b = beta[: len(rows)]
+        out = (em[rows] * b) @ m.T
+        gamma[rows] *= b
+        beta[: len(rows)] = out / out.sum(axis=1, keepdims=True)
+    gamma /= gamma.sum(axis=1, keepdims=True)
+    return gamma
+
+
 def viterbi(emission: np.ndarray, trans: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The best label of every row; of equals the lowest label."""
     lay = Layout(lengths)

@@ -27,12 +27,50 @@ CACHE, CACHED_LETTERS, BLOCK = 200_000, 64, 250_000
 WORD = r"\p{L}[\p{L}\p{M}]*"
 
 
+def _hashed(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % FEATURES
+
+
 def word_features(word: str) -> list[int]:
     b = f"^{word}$"
     n = len(word)
     names = [f"w{word}", *(f"p{word[:k]}" for k in (1, 2, 3) if k <= n), *(f"s{word[-k:]}" for k in (1, 2, 3) if k <= n)]
     names += {b[i : i + k] for k in (2, 3) for i in range(len(b) - k + 1)}
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % FEATURES for x in sorted(names)]
+    return [_hashed(x) for x in sorted(names)]
+
+
+def word_emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """The sum of weights over word_features() of each word. Affixes, pairs and triples of all words are made at once,
+    as numbers, and each that occurs is hashed once."""
+    code = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4")
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.cumsum(size + 2) - size - 1  # where a word's first letter lies
+    owner = np.repeat(np.arange(len(words)), size + 2)
+    letters, c = np.unique(code, return_inverse=True)
+    c, base = c + 1, len(letters) + 1  # 0: no letter
+
+    def grams(kind, at, k):
+        """The numbers of the k letters from each place on: kind, then three digits."""
+        digits = [c[at + j] for j in range(k)] + [0] * (3 - k)
+        return ((kind * base + digits[0]) * base + digits[1]) * base + digits[2]
+
+    names, owners = [], []
+    for k in (2, 3):
+        at = np.flatnonzero(owner[: 1 - k] == owner[k - 1 :])
+        names.append(grams(0, at, k))
+        owners.append(owner[at])
+    for k in (1, 2, 3):
+        long = np.flatnonzero(size >= k)
+        names += [grams(1, first[long], k), grams(2, first[long] + size[long] - k, k)]
+        owners += [long, long]
+    kinds, name = np.unique(np.concatenate(names), return_inverse=True)
+    signs = ["", *map(chr, letters.tolist())]
+    digits = zip(*((kinds // base**i % base).tolist() for i in (2, 1, 0)), (kinds // base**3).tolist())
+    hashed = np.array([_hashed(("", "p", "s")[kind] + signs[x] + signs[y] + signs[z]) for x, y, z, kind in digits], np.int64)
+    pairs = np.sort(np.concatenate(owners) * len(kinds) + name)
+    of, name = np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], len(kinds))  # a pair or triple counts once in a word
+    out = np.add.reduceat(weights[hashed[name]], np.searchsorted(of, np.arange(len(words))), axis=0)
+    return out + weights[[_hashed(f"w{w}") for w in words]]
 
 
 def splice(docs: list[tuple[int, list[str]]], seed: int = 11) -> tuple[list[str], list[int], list[int]]:
@@ -136,12 +174,7 @@ class Labeller:
                 self.clear()
                 return self.emissions(words)
             base = len(known)
-            parts = []
-            for i in range(0, len(new), 20_000):
-                features = [word_features(w) for w in new[i : i + 20_000]]
-                flat = np.fromiter((x for f in features for x in f), np.int64)
-                ends = np.cumsum([len(f) for f in features])
-                parts.append(np.add.reduceat(self.model.weights[flat], np.concatenate([[0], ends[:-1]]), axis=0))
+            parts = [word_emissions(new[i : i + 20_000], self.model.weights) for i in range(0, len(new), 20_000)]
             known.update((w, base + i) for i, w in enumerate(new))
             self.passing = [w for w in new if len(w) > CACHED_LETTERS]
             self.emission = np.concatenate([self.emission, *parts])
@@ -149,7 +182,7 @@ class Labeller:
 
     def marginals(self, texts: list[list[str]]) -> np.ndarray:
         em = self.emissions([w for t in texts for w in t])
-        return crf.forward_backward(em, self.model.trans, self.model.first, np.array([len(t) for t in texts]))
+        return crf.marginals(em, self.model.trans, self.model.first, np.array([len(t) for t in texts]))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
         """(language or und, its mean marginal, number of runs of words of one language) of each text."""

@@ -43,6 +43,33 @@ def test_crf_equals_enumeration():
     assert len(crf.forward_backward(em[:0], trans, first, np.zeros(0, int))) == 0
 
 
+def test_marginals_in_parts_equal_whole_sequences():
+    rng = np.random.default_rng(3)
+    trans, first, lengths = rng.normal(size=(4, 4)) * 3, rng.normal(size=4), np.array([5, 0, 1, 64, 65, 300, 0, 128, 7, 129])
+    em = rng.normal(size=(lengths.sum(), 4)) * 20
+    want = crf.forward_backward(em, trans, first, lengths)
+    for part in (1, 5, 64, 1000):
+        assert np.allclose(crf.marginals(em, trans, first, lengths, part=part), want, atol=1e-9)
+    assert np.allclose(crf.marginals(em.astype(np.float32), trans, first, lengths), want, atol=1e-3)
+    assert len(crf.marginals(em[:0], trans, first, lengths[:0])) == 0 == len(crf.marginals(em[:0], trans, first, np.zeros(2, int)))
+
+
+def test_language_of_long_texts_and_new_words_in_few_steps(monkeypatch):
+    rng = random.Random(5)
+    weights = np.random.default_rng(5).normal(size=(language_id.FEATURES, 3)).astype(np.float32)
+    model = language_id.Model(["a", "b", "c"], weights, np.eye(3) * 2, np.zeros(3))
+    words = ["x", "xx", "xxxx", "\U00010400b", "é" * 70, "a\u0301b", *("".join(rng.choices("abcdeß", k=rng.randrange(1, 12))) for _ in range(6000))]
+    em = np.array([weights[language_id.word_features(w)].astype(float).sum(axis=0) for w in words])
+    want = crf.forward_backward(em, model.trans, model.first, np.array([len(words) - 3, 3]))
+    hashed, steps = [], []
+    crc32, rows = zlib.crc32, crf.Layout.rows
+    monkeypatch.setattr(language_id.zlib, "crc32", lambda x: hashed.append(x) or crc32(x))
+    monkeypatch.setattr(crf.Layout, "rows", lambda self, t: steps.append(t) or rows(self, t))
+    got = language_id.Labeller(model).marginals([words[:-3], words[-3:]])
+    assert np.allclose(got, want, atol=1e-3)
+    assert len(hashed) < 2 * len(words) and len(steps) < len(words) / 10
+
+
 def _documents(spark, name="documents"):
     return spark.read.parquet(f"{SF}/{name}.parquet")
 
