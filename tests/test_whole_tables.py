@@ -4,6 +4,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronolith import queries
 from chronolith.operators import mining
@@ -37,3 +38,23 @@ def test_null_takes_twenty_rounds_of_every_length(spark, long_routine, monkeypat
     monkeypatch.setattr(mining, "shuffled_null", lambda sessions, **args: seen.update(args))
     queries.queries()["shuffle_null"](spark, long_routine)
     assert seen == {"rounds": 20, "least": 3}
+
+
+def test_rounds_of_the_null_are_mined_together(spark, monkeypatch):
+    steps = ["view:1", "click:2", "type:3", "[Save]"]
+    sessions = spark.createDataFrame([(f"s{i}", 100 * i, [steps[(i * k * k + k) % 4] for k in range(6 + i)]) for i in range(8)], "session string, start_us long, path array<string>").cache()
+    want = []
+    for i in range(3):
+        one = sessions.withColumn("path", F.transform(F.sort_array(F.transform("path", lambda s, k: F.struct(F.xxhash64(F.lit(5 + i), "session", k).alias("r"), s.alias("s")))), lambda x: x["s"]))  # noqa: B023
+        paths = [r["path"] for r in one.collect()]
+        runs = [(s, at, tuple(p[at : at + n])) for s, p in enumerate(paths) for n in range(3, len(p) + 1) for at in range(len(p) - n + 1)]
+        count = Counter(g for _, _, g in runs)
+        good = {tuple(r["gram"]) for r in mining.specific(spark.createDataFrame([(list(g),) for g, c in count.items() if c >= 3] or [([],)], "gram array<string>")).collect()}
+        inside = {(s, at + k) for s, at, g in runs if g in good for k in range(len(g))}
+        want.append((len(inside), sum(map(len, paths)), i))
+    calls, mine = [], mining.frequent_ngrams
+    monkeypatch.setattr(mining, "frequent_ngrams", lambda *a, **k: calls.append(1) or mine(*a, **k))
+    got = mining.shuffled_null(sessions, rounds=3, seed=5, least=3)
+    assert got.columns == ["covered", "total", "round"] and sorted(map(tuple, got.collect()), key=lambda r: r[2]) == want
+    assert len({c for c, _, _ in want}) > 1 and len(calls) == 1
+    assert sorted(map(tuple, mining.shuffled_null(sessions.limit(0), rounds=2).collect())) == [(0, 0, 0), (0, 0, 1)]
