@@ -169,6 +169,12 @@ def test_every_fingerprint_in_the_radius_is_found():
     assert listed.sum() / 5_000 / 50 < 0.05
 
 
+def test_windows_lack_less_than_an_eighth_of_an_item():
+    assert all(decontaminate.rounded(n) == n for n in range(1, 17))
+    assert all(0 <= n - decontaminate.rounded(n) < n / 8 for n in range(1, 3000))
+    assert len({decontaminate.rounded(n) for n in range(1, 100_000)}) < 100
+
+
 def test_windows_against_brute_force():
     """All windows and items: fingerprints bit by bit in Python integers, similarity from Counters of word tuples."""
     rng = random.Random(8)
