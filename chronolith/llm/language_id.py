@@ -174,7 +174,7 @@ class Labeller:
                 self.clear()
                 return self.emissions(words)
             base = len(known)
-            parts = [word_emissions(new[i : i + 20_000], self.model.weights) for i in range(0, len(new), 20_000)]
+            parts = [word_emissions(new[i : i + 5_000], self.model.weights) for i in range(0, len(new), 5_000)]
             known.update((w, base + i) for i, w in enumerate(new))
             self.passing = [w for w in new if len(w) > CACHED_LETTERS]
             self.emission = np.concatenate([self.emission, *parts])
