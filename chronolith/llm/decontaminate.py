@@ -34,12 +34,16 @@ BLOCKS, BLOCK_BITS_OFF = 4, 3
 RADIUS = BLOCKS * (BLOCK_BITS_OFF + 1) - 1
 #: Items, and characters of items, that are sent to the executors at once.
 ITEMS_AT_ONCE, CHARS_AT_ONCE = 20_000, 8_000_000
-#: Words of documents that are searched at once (a longer text is searched whole), and windows at once.
-WORDS_AT_ONCE, WINDOWS_AT_ONCE = 200_000, 16_384
+#: Words of documents that are searched at once (a longer text is searched whole), windows at once, and windows whose
+#: fingerprints are made at once, so that what is made of them stays in a processor's own cache.
+WORDS_AT_ONCE, WINDOWS_AT_ONCE, PRINTS_AT_ONCE = 200_000, 65_536, 4_096
+#: Items up to which a group's are compared one and all with a window that may be near one, which takes less time than
+#: their lists; and comparisons that are made at once.
+FEW, COMPARED_AT_ONCE = 32, 2_000_000
 _STEP = np.random.default_rng(77).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _OFF = np.array([sum(1 << b for b in bits) for n in range(BLOCK_BITS_OFF + 1) for bits in combinations(range(16), n)], np.uint16)
 _TABLE = np.arange(BLOCKS) << 16
-_TABLES = np.tile(_TABLE, WINDOWS_AT_ONCE)
+_VALUES = np.arange(1 << 16)
 _MARKS = re.compile(r"[\W_]+")
 
 
@@ -81,21 +85,32 @@ def rounded(size: int) -> int:
 
 
 def sums(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Running sums of each of the 64 bits of hashes, with a row of zeros before; sums of width rows fit the type."""
+    """Running sums of each of the 64 bits of hashes, with a row of zeros before, in fields that hold the sums of width
+    rows. The fields are added as parts of 64-bit numbers: one may run over into the next, but the difference of two
+    rows no more than width apart is right in every field."""
     kind = np.uint8 if width < 1 << 8 else np.uint16 if width < 1 << 16 else np.uint32
-    total = np.zeros((len(hashes) + 1, 64), kind)
-    np.cumsum(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=kind, out=total[1:])
+    bits = np.unpackbits(hashes.view(np.uint8)).astype(kind, copy=False).view(np.uint64).reshape(len(hashes), -1)
+    total = np.zeros((len(hashes) + 1, bits.shape[1]), np.uint64)
+    np.cumsum(bits, axis=0, out=total[1:])
     return total
 
 
 def fingerprints(total: np.ndarray, width: int) -> np.ndarray:
     """SimHash of each width consecutive rows of sums: each bit by the majority of the shingles, ties 1."""
-    ones = total[width:] - total[:-width]
-    return np.packbits(np.greater_equal(ones, total.dtype.type((width + 1) // 2), out=ones.view(bool) if ones.itemsize == 1 else None).ravel()).view(np.uint64)
+    kind, n = np.dtype(f"u{total.shape[1] // 8}"), len(total) - width
+    out = np.empty(n, np.uint64)
+    for i in range(0, n, PRINTS_AT_ONCE):
+        end = min(i + PRINTS_AT_ONCE, n)
+        ones = (total[i + width : end + width] - total[i:end]).view(kind)
+        out[i:end] = np.packbits(np.greater_equal(ones, kind.type((width + 1) // 2), out=ones.view(bool) if kind.itemsize == 1 else None).ravel()).view(np.uint64)
+    return out
 
 
 def similarity(a: np.ndarray, b: Counter) -> float:
-    c = Counter(a.tolist())
+    own = a.tolist()
+    if b.keys().isdisjoint(own):
+        return 0.0
+    c = Counter(own)
     low = sum(min(n, b[s]) for s, n in c.items() if s in b)
     return low / (len(a) + b.total() - low)
 
@@ -115,25 +130,40 @@ class Group:
             order = np.argsort(near, kind="stable")
             starts.append(np.cumsum(np.bincount(near, minlength=1 << 16)) + starts[-1][-1])
             items.append(order // len(_OFF))
-        # of every value of every block: the place of its list of items, and whether it has one
+        # of every value of every block: the place of its list of items, and the bits it differs in from the nearest item's
         self.starts, self.listed_items = np.concatenate(starts), np.concatenate(items).astype(np.int32)
-        self.listed = np.diff(self.starts) > 0
+        self.least = np.full((BLOCKS, 1 << 16), 16, np.uint8)
+        for k, least in enumerate(self.least):
+            least[blocks[:, k]] = 0
+            for bit in range(16):
+                np.minimum(least, least[_VALUES ^ 1 << bit] + np.uint8(1), out=least)
         return self
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in prints, item number) of the pairs within RADIUS, in order."""
-        slots = prints.view(np.uint16).astype(np.int64)
-        slots += np.resize(_TABLE, len(slots)) if len(slots) > len(_TABLES) else _TABLES[: len(slots)]
-        at = np.flatnonzero(self.listed.take(slots))
-        slot = slots.take(at)
+        """(place in prints, item number) of the pairs within RADIUS, in order. Only those fingerprints are compared
+        whose blocks' least differences add up to no more: any item differs in at least so many bits."""
+        blocks = prints.view(np.uint16).reshape(-1, BLOCKS)
+        apart = self.least[0].take(blocks[:, 0])
+        for k in range(1, BLOCKS):
+            apart += self.least[k].take(blocks[:, k])
+        at = np.flatnonzero(apart <= RADIUS)
+        step = max(1, COMPARED_AT_ONCE // len(self.items))
+        pairs = [self._compared(prints, at[i : i + step]) for i in range(0, len(at), step)]
+        return np.divmod(np.unique(np.concatenate(pairs)) if pairs else at, len(self.items))
+
+    def _compared(self, prints: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the prints at places at, place * items + item number of the pairs within RADIUS, some more than once."""
+        if len(self.items) <= FEW:
+            item, place = np.divmod(np.flatnonzero(np.bitwise_count(self.prints[:, None] ^ prints.take(at)) <= RADIUS), len(at))
+            return at.take(place) * len(self.items) + item
+        slot = (prints.view(np.uint16).reshape(-1, BLOCKS).take(at, axis=0) + _TABLE).ravel()
         first = self.starts.take(slot)
         size = self.starts.take(slot + 1) - first
         stop = np.cumsum(size)
-        item = self.listed_items.take(np.repeat(first - stop + size, size) + np.arange(stop[-1] if len(stop) else 0))
-        apart = np.bitwise_count(np.repeat(prints.take(at // BLOCKS), size) ^ self.prints.take(item))
-        good = np.flatnonzero(apart <= RADIUS)
-        place = at.take(np.searchsorted(stop, good, side="right")) // BLOCKS
-        return np.divmod(np.unique(place * len(self.items) + item.take(good)), len(self.items))
+        item = self.listed_items.take(np.repeat(first - stop + size, size) + np.arange(stop[-1]))
+        place = np.repeat(np.repeat(at, BLOCKS), size)
+        good = np.flatnonzero(np.bitwise_count(prints.take(place) ^ self.prints.take(item)) <= RADIUS)
+        return place.take(good) * len(self.items) + item.take(good)
 
 
 class Index:

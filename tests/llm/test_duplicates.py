@@ -169,6 +169,39 @@ def test_every_fingerprint_in_the_radius_is_found():
     assert listed.sum() / 5_000 / 50 < 0.05
 
 
+@pytest.mark.parametrize("n", [1, 20, decontaminate.FEW, decontaminate.FEW + 1, 300])
+def test_few_fingerprints_are_compared_and_none_is_missed(monkeypatch, n):
+    rng = random.Random(n)
+    group = decontaminate.Group()
+    group.items, group.sizes, group.prints = list(range(n)), [20] * n, [rng.getrandbits(64) for _ in range(n)]
+    group.close()
+    prints = [rng.getrandbits(64) for _ in range(2_000)]
+    for distance in range(24):
+        for _ in range(10):
+            p = group.prints[rng.randrange(n)].item()
+            prints.append(p ^ sum(1 << b for b in rng.sample(range(64), distance)))
+    want = [(i, k) for i, p in enumerate(prints) for k, q in enumerate(group.prints.tolist()) if (p ^ q).bit_count() <= decontaminate.RADIUS]
+    compared, compare = [], group._compared
+    monkeypatch.setattr(group, "_compared", lambda prints, at: compared.append(at) or compare(prints, at))
+    for at_once in (decontaminate.COMPARED_AT_ONCE, 900):
+        monkeypatch.setattr(decontaminate, "COMPARED_AT_ONCE", at_once)
+        assert list(zip(*(x.tolist() for x in group.near(np.array(prints, np.uint64))))) == want
+    # lists of blocks alone have 57 % of random fingerprints compared with some of 20 items
+    assert n > 20 or sum((at < 2_000).sum() for at in compared) / 2 < 0.25 * 2_000
+    assert [x.tolist() for x in group.near(np.zeros(0, np.uint64))] == [[], []]
+
+
+@pytest.mark.parametrize("most", [61, 255, 256, 700])
+def test_fingerprints_of_every_width(monkeypatch, most):
+    hashes = np.random.default_rng(most).integers(0, 1 << 64, 3 * most, dtype=np.uint64) | np.uint64(1 << 63 | 0xFFFF)  # fields that run over
+    total = decontaminate.sums(hashes, most)
+    for width, at_once in ((1, 4_096), (2, 100), (most - 1, 7), (most, 4_096)):
+        monkeypatch.setattr(decontaminate, "PRINTS_AT_ONCE", at_once)
+        bits = hashes[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)
+        want = [sum(1 << b for b in range(64) if 2 * int(c[b]) >= width) for c in (bits[i : i + width].sum(axis=0) for i in range(len(hashes) - width + 1))]
+        assert decontaminate.fingerprints(total, width).tolist() == want
+
+
 def test_windows_lack_less_than_an_eighth_of_an_item():
     assert all(decontaminate.rounded(n) == n for n in range(1, 17))
     assert all(0 <= n - decontaminate.rounded(n) < n / 8 for n in range(1, 3000))
