@@ -124,19 +124,22 @@ class Group:
     def close(self) -> Group:
         self.prints, self.sizes = np.array(self.prints, np.uint64), np.array(self.sizes)
         blocks = self.prints.view(np.uint16).reshape(-1, BLOCKS)
-        starts, items = [np.zeros(1, np.int64)], []
-        for k in range(BLOCKS):
-            near = (blocks[:, k, None] ^ _OFF).ravel()
-            order = np.argsort(near, kind="stable")
-            starts.append(np.cumsum(np.bincount(near, minlength=1 << 16)) + starts[-1][-1])
-            items.append(order // len(_OFF))
-        # of every value of every block: the place of its list of items, and the bits it differs in from the nearest item's
-        self.starts, self.listed_items = np.concatenate(starts), np.concatenate(items).astype(np.int32)
+        # of every value of every block, the bits it differs in from the nearest item's
         self.least = np.full((BLOCKS, 1 << 16), 16, np.uint8)
         for k, least in enumerate(self.least):
             least[blocks[:, k]] = 0
             for bit in range(16):
                 np.minimum(least, least[_VALUES ^ 1 << bit] + np.uint8(1), out=least)
+        if len(self.items) <= FEW:
+            return self  # lists are not read
+        starts, items = [np.zeros(1, np.int64)], []
+        for k in range(BLOCKS):
+            near = (blocks[:, k, None] ^ _OFF).ravel()
+            order = np.argsort(near, kind="stable")
+            starts.append(np.cumsum(np.bincount(near, minlength=1 << 16)) + starts[-1][-1])
+            items.append((order // len(_OFF)).astype(np.int32))
+        # of every value of every block, the place of its list of items
+        self.starts, self.listed_items = np.concatenate(starts), np.concatenate(items)
         return self
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

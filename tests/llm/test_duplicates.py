@@ -189,6 +189,7 @@ def test_few_fingerprints_are_compared_and_none_is_missed(monkeypatch, n):
     # lists of blocks alone have 57 % of random fingerprints compared with some of 20 items
     assert n > 20 or sum((at < 2_000).sum() for at in compared) / 2 < 0.25 * 2_000
     assert [x.tolist() for x in group.near(np.zeros(0, np.uint64))] == [[], []]
+    assert hasattr(group, "starts") == (n > decontaminate.FEW)  # lists that are not read take no memory
 
 
 @pytest.mark.parametrize("most", [61, 255, 256, 700])
