@@ -86,6 +86,27 @@ def test_each_event_counts_once_over_devices(spark):
     assert len(segs) == 2 and not any(r["interruptions"] for r in segs)
 
 
+def test_first_span_that_holds_a_time_equals_a_loop(spark):
+    """Spans of every length, many nested or at once, before and after 1970."""
+    rng = random.Random(8)
+    spans = []
+    for i in range(400):
+        start = rng.choice([0, -5 * temporal.HOUR, 470_000 * temporal.HOUR]) + rng.randrange(rng.choice([5, 3_000, 5_000_000, 200_000_000, 6 * temporal.HOUR]))
+        spans.append((start, start + rng.choice([0, 1, 999, 1_000, rng.randrange(3_000_000), rng.randrange(90_000_000), rng.randrange(5 * temporal.HOUR)]), (rng.randrange(300), i)))
+    edges = [t + d for s, e, _ in spans for t in (s, e) for d in (-1, 0, 1)]
+    times = rng.sample(edges, 900) + [rng.choice(spans)[0] + rng.randrange(temporal.HOUR) for _ in range(300)]
+    want = {t: min((o for s, e, o in spans if s <= t <= e), default=None) for t in times}
+    got = temporal.first_holding(spark.createDataFrame([(t,) for t in times], "ts_us long"), spark.createDataFrame(spans, "start_us long, end_us long, span struct<seen:int,i:int>")).collect()
+    assert {r["ts_us"]: tuple(r["span"]) for r in got} == {t: o for t, o in want.items() if o} and len(got) > 500
+
+
+def test_no_window_reads_to_the_end_of_its_partition_for_each_row(spark):
+    f = frames(spark, [(10, "a"), (20, "b")])
+    e = spark.createDataFrame([("", 1, 15 * SECOND)], "device string, id long, ts_us long")
+    plan = temporal.nearest(e, f, ["app"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()
+
+
 def test_coverage_and_gaps(spark):
     f = frames(spark, [(0, "A"), (59, "A"), (61, "B"), (4000, "B")])
     c = views.coverage(f).first()
