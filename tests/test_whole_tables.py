@@ -3,6 +3,7 @@
 from collections import Counter
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +34,18 @@ def test_ngrams_of_every_length(spark, long_routine):
     assert {r["part"]: (r["covered"], r["total"]) for r in run("temporal_holdout")} == {"train": (21, 21), "test": (0, 0)}
 
 
+def test_break_reasons_equal_sql_where_frames_share_a_time(spark, tmp_path):
+    """Frames at one time at the start, whose first gap the SQL does not know, and before and after pauses."""
+    times = [0, 0, 0, 10, 10, 400, 400, 400, 405, 2000]
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=t), i, "view" if i % 5 else "click" if i else "view", '{"k": 1}', 0.0) for i, t in enumerate(times)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, props string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * REPLACE (CAST(ts AS TIMESTAMP) AS ts) FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()["segment_break_reasons"]).fetchall()
+    got = queries.queries()["segment_break_reasons"](spark, str(tmp_path)).select("break_reason", "n").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 2
+
+
 def test_null_takes_twenty_rounds_of_every_length(spark, long_routine, monkeypatch):
     seen = {}
     monkeypatch.setattr(mining, "shuffled_null", lambda sessions, **args: seen.update(args))
